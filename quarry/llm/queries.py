@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, decontam, license as licences, simhash
-from quarry.llm.common import table
+from quarry.llm import bpe, decontam, license as licences, rules, secrets, simhash
+from quarry.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by rules learnt outside the held fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = rules.train(docs, table(spark, sf_dir, "labels"))
+    return rules.score_documents(docs, found).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, digests of ids and of the decoded bytes of every document."""
     import public_tokenizers
@@ -34,5 +41,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_codec, op6_decontaminate, op7_license_scan, op9_simhash)}
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, with the ownership of their values."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe_codec, op6_decontaminate, op7_license_scan, op9_simhash, op10_secret_ownership)}
 ORACLES: dict[str, str] = {}
