@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, decontam, license as licences, rules, secrets, simhash
+from quarry.llm import bpe, decontam, license as licences, rules, secrets, simhash, toxicity
 from quarry.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a machine learnt outside the held fold."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, machine).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,5 +53,5 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe_codec, op6_decontaminate, op7_license_scan, op9_simhash, op10_secret_ownership)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
 ORACLES: dict[str, str] = {}
