@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, decontam, license as licences, rules, secrets, simhash, toxicity
+from quarry.llm import bpe, decontam, license as licences, rules, secrets, simhash, suffix_dedup, toxicity
 from quarry.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start elsewhere, too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, by rules learnt outside the held fold."""
     docs = table(spark, sf_dir, "documents")
@@ -53,5 +58,5 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_quality_rules, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
 ORACLES: dict[str, str] = {}
