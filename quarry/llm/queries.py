@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import ann, bpe, decontam, license as licences, rules, secrets, simhash, suffix_dedup, toxicity
+from quarry.llm import ann, bpe, decontam, gru_lm, license as licences, rules, secrets, simhash, suffix_dedup, toxicity
 from quarry.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score_documents(docs, found).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document, by the network and by the unigram base."""
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, digests of ids and of the decoded bytes of every document."""
     import public_tokenizers
@@ -63,5 +68,5 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_cross_polytope, op3_quality_rules, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_cross_polytope, op3_quality_rules, op4_gru_lm, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
 ORACLES: dict[str, str] = {}
