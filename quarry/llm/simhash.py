@@ -30,24 +30,39 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 SMALL = 48
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; one for a text of fewer words, none without words."""
     import xxhash
 
     words = spaced_words(text)
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
+        return np.array([digest(b" ".join(words), seed)] if words else [], dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begin = [0, *ends[: len(words) - shingle].tolist()]
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(begin, (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(begin, (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """Each bit that over half the hashes have."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         part = hashes[k : k + 4096]
         ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return int(majority(shingle_hashes(text, shingle, seed)))
+
+
+def _remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Independent hashes from hashes."""
+    h = hashes + np.uint64((number * 0x9E3779B97F4A7C15) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -106,6 +121,34 @@ def within(differ, shape: tuple[int, ...], lanes: np.ndarray, radius: int = RADI
     return out.reshape(shape)
 
 
+def within_wide(differ, shape: tuple[int, ...], lanes: np.ndarray, planes: int, radius: int) -> np.ndarray:
+    """As within, for fingerprints of many planes and any radius: counters of as many bits as the radius needs."""
+    live = np.arange(int(np.prod(shape)))
+    digits = [np.zeros(len(live), np.uint64) for _ in range(radius.bit_length())]
+    over = ~np.broadcast_to(lanes, shape).reshape(-1)
+    out = np.zeros(len(live), np.uint64)
+    for plane in range(planes):
+        carry = differ(plane, live)
+        for k, digit in enumerate(digits):
+            digits[k], carry = digit ^ carry, digit & carry
+        over = over | carry
+        if plane % 32 == 31 or plane == planes - 1:
+            above, equal = np.zeros(len(live), np.uint64), np.full(len(live), _ONES)
+            for k in reversed(range(len(digits))):
+                if radius >> k & 1:
+                    equal = equal & digits[k]
+                else:
+                    above = above | (equal & digits[k])
+                    equal = equal & ~digits[k]
+            over = over | above
+            alive = over != _ONES
+            live, over, digits = live[alive], over[alive], [d[alive] for d in digits]
+            if not len(live):
+                return out.reshape(shape)
+    out[live] = ~over
+    return out.reshape(shape)
+
+
 def _lane_bits(n: int) -> np.ndarray:
     return np.packbits(np.arange(-(-n // 64) * 64) < n, bitorder="little").view("<u8")
 
@@ -172,6 +215,60 @@ def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) ->
     return values[root[linked]], values[linked]
 
 
+def wide_radius(similarity: float, bits: int) -> int:
+    """Expected differing bits of two sets of one size at a Jaccard similarity."""
+    return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def wide_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of rows, of the links within each bucket; prints is (rows, words)."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    root = np.arange(len(keys))  # by place in order
+    words = prints.shape[1]
+    size_at = np.repeat(sizes, sizes)
+    small = np.flatnonzero((size_at > 1) & (size_at <= SMALL))
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    shift = 1
+    while len(small):
+        small = small[small + shift < len(keys)]
+        small = small[bucket[small] == bucket[small + shift]]
+        for k in range(0, len(small), 1 << 14):
+            left = small[k : k + (1 << 14)]
+            gap = prints[order[left]] ^ prints[order[left + shift]]
+            planes = [planes_of(gap[:, w]) for w in range(words)]
+            hit = _places(within_wide(lambda p, live: planes[p >> 6][p & 63][live], (planes[0].shape[1],), _lane_bits(len(left)), 64 * words, radius))
+            _merge(root, left[hit], left[hit] + shift)
+        shift += 1
+    for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        own = prints[order[at : at + n]]
+        for k in range(0, n, 256):
+            # probes need no lanes of their own component: whatever the largest one holds is compared with the rest only
+            roots = root[at : at + n]
+            names, counts = np.unique(roots, return_counts=True)
+            inside = roots == names[counts.argmax()]
+            probes = np.arange(k, min(k + 256, n))
+            for some, others in ((probes[inside[probes]], np.flatnonzero(~inside)), (probes[~inside[probes]], np.arange(n))):
+                if not len(some) or not len(others):
+                    continue
+                planes = [planes_of(own[others, w]) for w in range(words)]
+                lanes = _lane_bits(len(others))
+                width = len(lanes)
+
+                def differ(p: int, live: np.ndarray) -> np.ndarray:
+                    bit = (own[some, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)
+                    return planes[p >> 6][p & 63][live % width] ^ np.where(bit == 1, _ONES, np.uint64(0))[live // width]
+
+                near = within_wide(differ, (len(some), width), lanes, 64 * words, radius)
+                for i in np.flatnonzero(near.any(axis=1)):
+                    other = others[_places(near[i])]
+                    other = other[other != some[i]]
+                    _merge(root, np.full(len(other), at + some[i]), at + other)
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return order[root[linked]], order[linked]
+
+
 def _bucket_keys(values: np.ndarray) -> np.ndarray:
     """16 bucket keys a fingerprint: band, sub-band of the rest, and their 28 bits."""
     out = []
@@ -248,5 +345,53 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(of, rows["fp"] == of["of_fp"]).select(id_column, "fp", "component_id")
 
 
+WIDE_WORDS, LEAST_SHINGLES, SLACK = 8, 8, 0.06
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every document, linked where shingle sets are similar.
+
+    For similarities well under one, 64 bits and 3 of them are too few. Here 512-bit
+    fingerprints are compared, bit-sliced, between documents that share one of the 8 least
+    shingle hashes of either; a pair links when its differing bits are no more than those
+    expected at the similarity less SLACK (1.5 standard deviations of the estimate), so
+    that pairs at the similarity itself are caught. Texts without words are one group.
+    """
+    kind = dict(docs.dtypes)[id_column]
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            prints, keys = [], []
+            for text in binary_column(batch, text_column):
+                hashes = shingle_hashes(text, shingle)
+                prints.append(b"".join(int(majority(_remixed(hashes, k))).to_bytes(8, "little") for k in range(WIDE_WORDS)))
+                keys.append(np.unique(hashes)[:LEAST_SHINGLES].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_column, "fp", "keys"])
+
+    radius = wide_radius(similarity - SLACK, 64 * WIDE_WORDS)
+    rows = checkpointed(clashless(docs, id_column, text_column).mapInArrow(scan, f"`{id_column}` {kind}, fp binary, keys array<bigint>"))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(id_column).alias("low"), F.min("keys").alias("keys")).withColumn("node", F.xxhash64("fp")))
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            prints = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
+            names = table["node"].to_numpy()
+            a, b = wide_links(table["bucket"].to_numpy(), prints, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b]))], ["a", "b"])
+
+    buckets = nodes.select(F.explode("keys").alias("bucket"), "node", "fp").repartition(shuffle_width(docs.sparkSession), "bucket")
+    linked = components(buckets.mapInArrow(compare, "a bigint, b bigint").where("a < b").distinct())
+    of = nodes.select("fp", "low", F.col("node").alias("n")).join(linked, F.col("n") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "n").alias("root"))
+    least = of.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = of.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    return rows.select(id_column, "fp").join(of, F.col("fp") == F.col("of_fp")).select(id_column, "fp", "component_id")
+
+
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0")).alias("fingerprint")
