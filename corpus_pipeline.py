@@ -8,14 +8,69 @@ again for the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quarry.llm import bpe, decontam, rules, secrets, simhash
+from quarry.llm.common import table, written
+from quarry.llm.queries import VOCABULARY
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    found = rules.train(docs, table(spark, sf_dir, "labels"))
+    return rules.score_documents(docs, found, keep=tuple(docs.columns)).where(F.col("score") >= 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents (five-word shingles, 0.8), the one of the smallest id stays, once."""
+    kept = simhash.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return stay.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Base secrets, and added candidates that look live, give way to a mark; n_chars follows the text."""
+    found = secrets.scan(docs).select(F.col("doc_id").alias("of_id"), F.concat("base", "live").alias("spans")).where(F.size("spans") > 0)
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return out.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with their digests."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", mask_secrets),
+    ("byte-level BPE", encode),
+]
+
+#: SQL can't express the classifier, the fingerprints and the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each one's rows written in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}-{uuid.uuid4().hex}")
     return docs
