@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.queries import basic
+from quarry.queries import basic, learning, scalar
 
-QUERIES = {**basic.QUERIES}
-ORACLES = {**basic.ORACLES}
+QUERIES = {**basic.QUERIES, **scalar.QUERIES, **learning.QUERIES}
+ORACLES = {**basic.ORACLES, **scalar.ORACLES, **learning.ORACLES}
