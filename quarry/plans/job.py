@@ -129,7 +129,7 @@ class Job:
         return self._counted(out, "reduce_output")
 
     def sorted(self) -> DataFrame:
-        """run(), one partition a shard, in byte order of keys."""
+        """run(), each shard whole in one partition, its keys in byte order."""
         return self.run().repartition(self.shards, "shard").sortWithinPartitions("shard", "key")
 
     def _python_reduce(self, rows: DataFrame) -> DataFrame:

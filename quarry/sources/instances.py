@@ -72,29 +72,29 @@ def decode(records: DataFrame) -> DataFrame:
     """Instances of records whose values are instance messages."""
 
     def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in batches:
-            rows = [decode_message(bytes(v)) for v in frame["value"]]
-            yield pd.DataFrame({
-                "num_positive": [r[0] for r in rows], "num_appearance": [r[1] for r in rows],
-                "features": [[{"name": n, "id": i, "value": v} for n, i, v in r[2]] for r in rows],
-            })
+        kind = pa.list_(pa.struct([("name", pa.string()), ("id", pa.int32()), ("value", pa.float64())]))
+        for batch in batches:
+            rows = [decode_message(bytes(v)) for v in batch.column("value").to_pylist()]
+            given = [[{"name": n, "id": i, "value": v} for n, i, v in r[2]] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float32()), pa.array([r[1] for r in rows], pa.float32()), pa.array(given, kind)], ["num_positive", "num_appearance", "features"])
 
-    return records.select("value").mapInPandas(parse, SCHEMA)
+    return records.select("value").mapInArrow(parse, SCHEMA)
 
 
 def encode(instances: DataFrame, key: Column) -> DataFrame:
     """Records (key, value) of instances."""
 
     def write(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in batches:
-            values = [encode_message(p, a, [(x["name"], x["id"], x["value"]) for x in f]) for p, a, f in zip(frame["num_positive"], frame["num_appearance"], frame["features"])]
-            yield pd.DataFrame({"key": [k.encode() for k in frame["key"]], "value": values})
+        for batch in batches:
+            keys, positive, appearance, given = (batch.column(c).to_pylist() for c in ("key", "num_positive", "num_appearance", "features"))
+            values = [encode_message(p, a, [(x["name"], x["id"], x["value"]) for x in f]) for p, a, f in zip(positive, appearance, given)]
+            yield pa.RecordBatch.from_arrays([pa.array([(k or "").encode() for k in keys], pa.binary()), pa.array(values, pa.binary())], ["key", "value"])
 
-    return instances.select(key.cast("string").alias("key"), "num_positive", "num_appearance", "features").mapInPandas(write, "key binary, value binary")
+    return instances.select(key.cast("string").alias("key"), "num_positive", "num_appearance", "features").mapInArrow(write, "key binary, value binary")
 
 
 def labelled(instances: DataFrame) -> DataFrame:
