@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.common import binary_column, crc_mod, shuffle_width, spaced_words, written
 
 HEAD, HEAD_CLASSES, TAILS, HIDDEN = 1024, 32, 32, 24
-SHARE, ROUNDS, STREAMS, STEPS, RATE = 8, 2, 32, 20, 4e-3
+SHARE, ROUNDS, STREAMS, STEPS, RATE = 8, 2, 32, 20, 2e-2
 #: Bytes of text of a chunk that is scored together, and of a training replica.
 CHUNK_BYTES, REPLICA_BYTES = 16 << 20, 3 << 20
 _END = b"\n"  # no word holds white space
