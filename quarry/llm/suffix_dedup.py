@@ -313,7 +313,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spark = keyed.sparkSession
     found = _anchor_rows(keyed, length, gram)
     by_gram = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("region").alias("first"), F.max("region").alias("last")).where("times > 1")
-    by_gram = by_gram.select(F.col("gram").alias("of_gram"), (F.col("first") != F.col("last")).alias("mixed"))
+    # as a table of its own, so that the join has two plain exchanges and splits a frequent gram's rows
+    by_gram = written(by_gram.select(F.col("gram").alias("of_gram"), (F.col("first") != F.col("last")).alias("mixed")), f"grams-{uuid.uuid4().hex}")
     taking = written(found.join(by_gram, found["gram"] == by_gram["of_gram"]).drop("of_gram"), f"anchors-{uuid.uuid4().hex}")
     low, size = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(0xFFF) + length
     whole = taking.where("not mixed").select("id", "tag", low.alias("s"), (low + size).alias("e"))
