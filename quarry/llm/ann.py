@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.common import checkpointed, shuffle_width
 
-TABLES, PROBES, NEAREST, PART, SEED = 8, 14, 10, 20_000, 77
+TABLES, PROBES, NEAREST, PART, SEED = 4, 32, 10, 20_000, 77
 _HIT = "array<struct<distance:double,vec_id:bigint>>"
 
 
@@ -127,7 +127,7 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
 
 
 def _one_dim(rows: DataFrame, dim: int, every: int, tables: int, probes: int, k: int) -> DataFrame:
-    spark, keep = rows.sparkSession, k + 1
+    keep, kind = k + 1, dict(rows.dtypes)["vec"]
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     entries = rows.distinct().withColumn("rank", rank).where(F.col("rank") <= keep).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = checkpointed(entries.withColumn("class", F.element_at("ids", 1)))
@@ -153,12 +153,12 @@ def _one_dim(rows: DataFrame, dim: int, every: int, tables: int, probes: int, k:
             for column in at.reshape(len(at), -1).T:
                 yield pa.RecordBatch.from_arrays([pa.array(column.astype(np.int64)), batch.column("vec"), batch.column("query")], ["bucket", "vec", "query"])
 
-    index = entries.select("vec", "ids").mapInArrow(hashed, "bucket bigint, vec array<double>, ids array<bigint>")
+    index = entries.select("vec", "ids").mapInArrow(hashed, f"bucket bigint, vec {kind}, ids array<bigint>")
     sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("bigint"))
     # at most tables * 2 * width rows, whatever the input
     parts = F.broadcast(sizes.select(F.col("bucket").alias("b"), "parts"))
     index = index.join(parts, F.col("bucket") == F.col("b")).select("bucket", F.pmod(F.xxhash64("ids"), "parts").alias("part"), "vec", "ids", F.lit(None).cast("bigint").alias("query"))
-    probing = queries.select("vec", "query").mapInArrow(looked, "bucket bigint, vec array<double>, query bigint")
+    probing = queries.select("vec", "query").mapInArrow(looked, f"bucket bigint, vec {kind}, query bigint")
     probing = probing.join(parts, F.col("bucket") == F.col("b")).select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "vec", F.lit(None).cast("array<bigint>").alias("ids"), "query")
     best = checkpointed(_best(_search(index.unionByName(probing), keep), keep))
     n = entries.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).first()["n"]
@@ -178,9 +178,11 @@ def _one_dim(rows: DataFrame, dim: int, every: int, tables: int, probes: int, k:
 def search(vectors: DataFrame, every: int = 100, tables: int = TABLES, probes: int = PROBES, k: int = NEAREST, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every row whose id is divisible by `every`."""
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vec"))
+    # single precision is shipped as it is; distances are always taken in double
+    kind = "float" if dict(vectors.dtypes)[vector_column] == "array<float>" else "double"
+    rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast(f"array<{kind}>").alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(fine)
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # one zero only
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))  # one zero only
     dims = [r["d"] for r in rows.select(F.size("vec").alias("d")).distinct().orderBy("d").collect()]
     out = None
     for dim in dims:
