@@ -18,14 +18,17 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import clashless
 
 #: The first of 256 consecutive characters that stand for the bytes 0 to 255.
 _FIRST = 0x4E00
-#: Distinct pre-tokens a worker remembers; beyond that it starts afresh, with the same results.
-REMEMBERED = 300_000
+#: Distinct pre-tokens a worker remembers; beyond that it forgets those not in use, with the same results.
+REMEMBERED = 200_000
+#: Documents whose new pre-tokens are encoded in one call.
+TOGETHER = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,8 +53,11 @@ def _number(number: int, n: int) -> bytes:
     return _varint(number << 3) + _varint(n)
 
 
+_MAP = {b: _FIRST + b for b in range(256)}
+
+
 def mapped(data: bytes) -> str:
-    return "".join(chr(_FIRST + b) for b in data)
+    return data.decode("latin-1").translate(_MAP)
 
 
 def serialise(ranks: dict[bytes, int]) -> bytes:
@@ -81,11 +87,7 @@ class Codec:
         self.written: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
-    def _learn(self, tokens: list[str]) -> None:
-        if len(self.written) > REMEMBERED:
-            self.written.clear()
-            self.decoded.clear()
-        new = [t for t in dict.fromkeys(tokens) if t not in self.written]
+    def _learn(self, new: list[str]) -> None:
         rest = []
         for t in new:
             if (r := self.ranks.get(t.encode())) is None:
@@ -97,7 +99,7 @@ class Codec:
                 self._note(t, [self.rank_of_piece[p] for p in pieces])
 
     def _note(self, token: str, ids: list[int]) -> None:
-        self.written[token] = b",".join(b"%d" % i for i in ids)
+        self.written[token] = b",".join([b"%d" % i for i in ids])
         self.decoded[token] = self.decode(ids)
 
     def decode(self, ids: list[int]) -> bytes:
@@ -105,12 +107,18 @@ class Codec:
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """The decimal ids joined by commas, and the bytes that these ids decode to."""
-        tokens = self.cut(text)
-        try:
-            return b",".join([self.written[t] for t in tokens]), b"".join([self.decoded[t] for t in tokens])
-        except KeyError:
-            self._learn(tokens)
-            return b",".join([self.written[t] for t in tokens]), b"".join([self.decoded[t] for t in tokens])
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """encode() of each text; what is new in any of them is encoded in one call."""
+        cut = [self.cut(t) for t in texts]
+        used = set().union(*cut)
+        if len(self.written) > REMEMBERED:  # what these texts don't use is forgotten
+            self.written = {t: self.written[t] for t in used if t in self.written}
+            self.decoded = {t: self.decoded[t] for t in self.written}
+        self._learn([t for t in used if t not in self.written])
+        written, decoded = self.written.__getitem__, self.decoded.__getitem__
+        return [(b",".join(map(written, tokens)), b"".join(map(decoded, tokens))) for tokens in cut]
 
 
 def encode_documents(
@@ -123,25 +131,22 @@ def encode_documents(
     ranks = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((serialise(ranks), ranks, pattern))
     kind = dict(docs.dtypes)[id_column]
+    names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         codec = Codec(*shared.value)
-        for batch in batches:
-            counts, digests, back, ids = [], [], [], []
-            for text in batch.column(text_column).to_pylist():
-                written, data = codec.encode(text or "")
-                counts.append(written.count(b",") + 1 if written else 0)
-                digests.append(hashlib.sha256(written).hexdigest())
-                back.append(hashlib.sha256(data).hexdigest())
+        for whole in batches:
+            for k in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(k, TOGETHER)
+                found = codec.encode_many([t or "" for t in batch.column(text_column).to_pylist()])
+                counts = np.array([w.count(b",") + 1 if w else 0 for w, _ in found], np.int64)
+                columns = [batch.column(id_column), pa.array(counts), *(pa.array([hashlib.sha256(x[i]).hexdigest() for x in found], pa.string()) for i in (0, 1))]
                 if with_ids:
-                    ids.append([int(x) for x in written.split(b",")] if written else [])
-            columns = [batch.column(id_column), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    flat = np.fromstring(b",".join([w for w, _ in found if w]).decode(), np.int32, sep=",") if counts.any() else np.zeros(0, np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return clashless(docs, id_column, text_column).mapInArrow(encode, schema)
