@@ -19,8 +19,12 @@ repeated doc_ids keep their rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.llm.common import written
+
 #: The base kinds in their order, pattern, group of the secret, least length of it.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -131,7 +135,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", id_
     n_owned and n_copied count the document's distinct candidates that at most few_owners, or more, owners carry.
     """
     names = dict.fromkeys([id_column, owner, repository, text_column])
-    found = candidates(docs.select(*names), text_column).drop(text_column)
+    # a small table of its own: the texts are searched once
+    found = written(candidates(docs.select(*names), text_column).drop(*{text_column} - {id_column, owner, repository}), f"candidates-{uuid.uuid4().hex}")
     held = found.where(F.size("base") + F.size("extra") > 0)
     known = ownership(found, owner, repository)
     each = held.select(F.col(id_column).alias("of_id"), F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda x: F.sha2(x["secret"], 256)))).alias("hash"))
