@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import ann, bpe, decontam, gru_lm, license as licences, rules, secrets, simhash, suffix_dedup, toxicity
+from quarry.llm import ann, bpe, decontam, gru_lm, license as licences, oracle, rules, secrets, simhash, suffix_dedup, toxicity
 from quarry.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,4 +69,4 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_cross_polytope, op3_quality_rules, op4_gru_lm, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracle.REPEATS, "op6_decontaminate": oracle.CONTAMINATION}
