@@ -15,3 +15,23 @@ DEFAULTS = {
 def session(name: str = "quarry", **conf: str) -> SparkSession:
     """The active session, or a new one with the defaults and the given settings."""
     return SparkSession.builder.appName(name).config(map=DEFAULTS | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once a context, unless PYTHONPATH has it for them."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_quarry_shipped", False):
+        return
+    # made on the driver only; Spark serves it to the executors
+    path = f"{tempfile.mkdtemp(prefix='quarry-')}/quarry.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    context._quarry_shipped = True
