@@ -28,3 +28,30 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def secrets_sql() -> str:
+    """Spans by the gaps between matches, and the owners of each candidate."""
+    from quarry.llm.secrets import BASE, FEW_OWNERS, MORE
+
+    kinds = [*BASE, *((kind, pattern, group, 1) for kind, pattern, group, _ in MORE)]
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, {least} AS least, list_transform(string_split_regex(t, {quoted(pattern)}), lambda x: length(x)) AS gaps, "
+        f"regexp_extract_all(t, {quoted(pattern)}, 0) AS whole, regexp_extract_all(t, {quoted(pattern)}, {group}) AS secrets FROM d WHERE regexp_matches(t, {quoted(pattern)})"
+        for rank, (kind, pattern, group, least) in enumerate(kinds)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM f),
+m AS (SELECT doc_id, source, kind, rank, (list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(whole[i]) AS n, secrets[i] AS secret
+  FROM i WHERE length(secrets[i]) >= least),
+o AS (SELECT secret, count(DISTINCT coalesce('x' || source, '')) <= {FEW_OWNERS} AS owned FROM m GROUP BY secret),
+x AS (SELECT doc_id, kind, rank, s, secret, owned, kind || ':' || s || ':' || (s + n) AS span FROM m JOIN o USING (secret)),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in BASE)},
+  string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)} OR owned) AS spans,
+  count(DISTINCT secret) FILTER (owned) AS n_owned, count(DISTINCT secret) FILTER (NOT owned) AS n_copied FROM x GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (doc_id)
+"""

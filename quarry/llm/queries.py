@@ -69,4 +69,4 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_cross_polytope, op3_quality_rules, op4_gru_lm, op5_bpe_codec, op6_decontaminate, op7_license_scan, op8_toxicity_svm, op9_simhash, op10_secret_ownership)}
-ORACLES: dict[str, str] = {"op1_suffix_dedup": oracle.REPEATS, "op6_decontaminate": oracle.CONTAMINATION}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracle.REPEATS, "op6_decontaminate": oracle.CONTAMINATION, "op10_secret_ownership": oracle.secrets_sql()}
