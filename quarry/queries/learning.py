@@ -158,6 +158,35 @@ def _folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
 
 
+def text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as one shard and read again with the place of each."""
+    from quarry.sources import shards
+
+    path = f"{_folder(spark)}/lines-{uuid.uuid4().hex}"
+    names = read(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1)
+    shards.write_text(names.select(F.col("c_name").alias("value")), path)
+    return shards.read_text_with_places(spark, path).select(F.substring("key", -10, 10).cast("bigint").alias("place"), "value")
+
+
+def message_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed form of instances as messages: how often each text of a feature name occurs in it."""
+    from quarry.sources import messages
+
+    definitions = """message Instance { message Feature { optional string name = 1; optional int32 id = 2; required double value = 3; }
+        required float num_positive = 1; required float num_appearance = 2; repeated Feature feature = 3; }"""
+    lines = messages.dump(instance_source.encode(order_instances(spark, sf_dir), F.col("row")), definitions, "Instance")
+    names = F.regexp_extract_all("line", F.lit('name: "([^"]*)"'), F.lit(1))
+    return lines.select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of the newest saved state of a training run that is stopped early and resumed."""
+    path = training.new_state_path(_folder(spark))
+    rows = _numbered(spark, sf_dir)
+    training.train(rows, training.Options(l1=L1, max_iterations=2), path)
+    return training.dump_state(spark, path, model_only=True)
+
+
 def text_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances printed as text lines and parsed again."""
     rows = _numbered(spark, sf_dir)
@@ -189,7 +218,7 @@ QUERIES = {
     for f in (
         feature_dictionary, convert_features, sparse_dot, sparse_add_scaled, sparse_scale, dense_dot, dimension, objective_at_zero,
         objective_at_w, gradient_at_w, steepest_dir, dir_deriv, next_point, fix_signs, improvement_filter, predict, train_l1_logreg,
-        parameter_mixture, model_text_roundtrip, recordio_roundtrip, text_instances, distinct_names_job,
+        parameter_mixture, model_text_roundtrip, recordio_roundtrip, text_places, message_dump, saved_state, text_instances, distinct_names_job,
     )
 }
 ORACLES = {
@@ -214,6 +243,8 @@ ORACLES = {
     "predict": f"{_W}{_SCORED} SELECT row_id AS row, round(1 / (1 + exp(-s)), 9) AS probability FROM s",
     "model_text_roundtrip": f"{_W} SELECT id, value FROM w",
     "recordio_roundtrip": f"WITH {ORDER_SQL} SELECT num_positive, num_appearance, count(*) AS n, 3 * count(*)::BIGINT AS features FROM inst GROUP BY 1, 2",
+    "text_places": "SELECT (sum(octet_length(encode(c_name)) + 1) OVER (ORDER BY c_custkey) - octet_length(encode(c_name)) - 1)::BIGINT AS place, c_name AS value FROM customer",
+    "message_dump": f"WITH {ORDER_SQL} SELECT name, count(*) AS n FROM feat GROUP BY name",
     "text_instances": f"{_DICT} SELECT id, count(*) AS n, sum(num_positive::DOUBLE) AS positive FROM feat JOIN dict USING (name) GROUP BY id",
     "distinct_names_job": f"WITH {ORDER_SQL} SELECT name, count(*) AS n FROM feat GROUP BY name",
 }

@@ -182,3 +182,13 @@ def test_vector_arrays_and_text(spark):
     back = spark.range(1).select(vectors.from_text(F.lit("[ 1:10.0 3:-0.5 ]"))).first()[0]
     assert [tuple(x) for x in back] == [(1, 10.0), (3, -0.5)]
     assert spark.range(1).select(vectors.to_text(F.array().cast("array<struct<id:int,value:double>>"))).first()[0] == "[ ]"
+
+
+def test_command_line(spark, tmp_path):
+    from quarry import train
+
+    (tmp_path / "in").write_text("10 10   2 1 5 0\n0  10   2 0 5 1\n")
+    model = train.main(["--input", str(tmp_path / "in"), "--output", str(tmp_path / "model"), "--l1", "0.1"])
+    line = spark.read.text(str(tmp_path / "model")).first()["value"]
+    back = {x["id"]: x["value"] for x in spark.range(1).select(vectors.from_text(F.lit(line)).alias("v")).first()["v"]}
+    assert back == dict(zip(model.ids.tolist(), model.weights.tolist()))
