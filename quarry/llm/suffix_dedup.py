@@ -320,14 +320,22 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = taking.where("not mixed").select("id", "tag", low.alias("s"), (low + size).alias("e"))
     mixed = taking.where("mixed")
     entries = mixed.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "place")).alias("one"))
-    entries = entries.select("gram", "region", "n", "one.*")
-    texts = keyed.select(F.col("id").alias("of_id"), F.col("tag").alias("of_tag"), "text")
+    entries = written(entries.select("gram", "region", "n", F.col("one.id").alias("of_id"), F.col("one.tag").alias("of_tag"), "one.place"), f"entries-{uuid.uuid4().hex}")
     context = F.substring(F.col("text").cast("binary"), (low + 1).cast("int"), size.cast("int"))
-    rows = entries.join(texts, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("gram", "region", "n", F.col("place").bitwiseAND(0xFFF).alias("offset"), size.alias("size"), context.alias("context"))
-    rows = rows.dropDuplicates(["gram", "region"])  # rows that repeat as a whole have given the same text
+
+    def with_context(some: DataFrame) -> DataFrame:
+        # the same columns of the documents as in the last join, whose exchange is used again
+        joined = keyed.join(some, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag")))
+        rows = joined.select("gram", "region", "n", F.col("place").bitwiseAND(0xFFF).alias("offset"), size.alias("size"), context.alias("context"))
+        # rows that repeat as a whole have given the same text
+        return rows.repartition(shuffle_width(spark), "gram").dropDuplicates(["gram", "region"])
+
     crowded = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("regions")).where(F.col("regions") > GROUP).select("gram")
-    dealt = rows.join(crowded, "gram", "left_anti").repartition(shuffle_width(spark), "gram")
-    known = _index(dealt, length, gram).unionByName(_windows_by_hash(rows.join(crowded, "gram", "left_semi"), length))
+    if crowded.isEmpty():
+        known = _index(with_context(entries), length, gram)
+    else:
+        known = _index(with_context(entries.join(crowded, "gram", "left_anti")), length, gram)
+        known = known.unionByName(_windows_by_hash(with_context(entries.join(crowded, "gram", "left_semi")), length))
     known = known.select(F.col("gram").alias("g"), F.col("region").alias("r"), F.col("s").alias("from"), F.col("e").alias("to"))
     partly = mixed.join(known, (F.col("gram") == F.col("g")) & (F.col("region") == F.col("r"))).select("id", "tag", (low + F.col("from")).alias("s"), (low + F.col("to")).alias("e"))
     return whole.unionByName(partly).distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
