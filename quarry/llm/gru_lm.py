@@ -171,7 +171,8 @@ def log_outputs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) ->
 def train_replica(w: dict[str, np.ndarray], tokens: np.ndarray, end: int, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE) -> dict[str, np.ndarray]:
     """Truncated backpropagation through time over a sequence of documents, cut into parallel streams."""
     w = {k: v.copy() for k, v in w.items()}
-    streams = max(1, min(streams, len(tokens) // (2 * steps)))
+    # as many streams as leave some 200 steps of descent
+    streams = max(1, min(streams, max(4, len(tokens) // (200 * steps)), len(tokens) // (2 * steps)))
     length = len(tokens) // streams
     if not length:
         return w
