@@ -26,6 +26,8 @@ from quarry.llm.common import binary_column, checkpointed, clashless, shuffle_wi
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Edges of a partition between rounds of contraction.
+EDGES = 100_000
 #: Buckets up to this size are compared as lanes of pairs, larger ones probe against block.
 SMALL = 48
 
@@ -326,9 +328,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges)
     seen = mark(edges)
     while True:
+        parts = 1 + seen[0] // EDGES  # as many partitions as the edges need, so that a round over few is short
         both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).union(edges.select(F.col("b").alias("n"), F.col("a").alias("m")))
         edges = star(both, True)
-        edges = checkpointed(star(edges.select(F.col("b").alias("n"), F.col("a").alias("m")), False))
+        edges = checkpointed(star(edges.select(F.col("b").alias("n"), F.col("a").alias("m")), False).coalesce(parts))
         if (now := mark(edges)) == seen:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = now
@@ -372,7 +375,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
 
     radius = wide_radius(similarity - SLACK, 64 * WIDE_WORDS)
     rows = checkpointed(clashless(docs, id_column, text_column).mapInArrow(scan, f"`{id_column}` {kind}, fp binary, keys array<bigint>"))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min(id_column).alias("low"), F.min("keys").alias("keys")).withColumn("node", F.xxhash64("fp")))
+    nodes = rows.groupBy("fp").agg(F.min(id_column).alias("low"), F.min("keys").alias("keys")).withColumn("node", F.xxhash64("fp"))
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
