@@ -176,6 +176,39 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = flat
 
 
+def _link_block(own: np.ndarray, root: np.ndarray, base: int, near_lanes) -> None:
+    """Joins a large bucket's linked fingerprints in root, a view whose entries count from base.
+
+    Probes need no lanes of their own component: members of the largest one, which in a bucket
+    of altered copies soon holds nearly all, are compared with the rest only.
+    """
+    n, words = own.shape
+    root -= base
+    for k in range(0, n, 256):
+        names, counts = np.unique(root, return_counts=True)
+        if len(names) == 1:
+            break
+        inside = root == names[counts.argmax()]
+        probes = np.arange(k, min(k + 256, n))
+        for some, others in ((probes[inside[probes]], np.flatnonzero(~inside)), (probes[~inside[probes]], np.arange(n))):
+            if not len(some) or not len(others):
+                continue
+            planes = [planes_of(own[others, w]) for w in range(words)]
+            lanes = _lane_bits(len(others))
+            width = len(lanes)
+
+            def differ(p: int, live: np.ndarray) -> np.ndarray:
+                bit = (own[some, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)
+                return planes[p >> 6][p & 63][live % width] ^ np.where(bit == 1, _ONES, np.uint64(0))[live // width]
+
+            near = near_lanes(differ, (len(some), width), lanes)
+            for i in np.flatnonzero(near.any(axis=1)):
+                other = others[_places(near[i])]
+                other = other[other != some[i]]
+                _merge(root, np.full(len(other), some[i]), other)
+    root += base
+
+
 def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as pairs of values, of the links within each bucket."""
     order = np.lexsort((values, keys))
@@ -196,23 +229,7 @@ def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) ->
             _merge(root, left[hit], left[hit] + shift)
         shift += 1
     for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        own = values[at : at + n]
-        planes, lanes = planes_of(own), _lane_bits(n)
-        width = planes.shape[1]
-        step = max(1, (1 << 18) // width)
-        for k in range(0, n, step):
-            probes = own[k : k + step]
-
-            def differ(p: int, live: np.ndarray) -> np.ndarray:
-                bit = (probes >> np.uint64(p)) & np.uint64(1)
-                flip = np.where(bit == 1, _ONES, np.uint64(0))
-                return planes[p][live % width] ^ flip[live // width]
-
-            near = within(differ, (len(probes), width), lanes, radius)
-            for probe in np.flatnonzero(near.any(axis=1)):
-                other = _places(near[probe])
-                other = other[other != k + probe]
-                _merge(root, np.full(len(other), at + k + probe), at + other)
+        _link_block(values[at : at + n, None], root[at : at + n], at, lambda differ, shape, lanes: within(differ, shape, lanes, radius))
     linked = np.flatnonzero(root != np.arange(len(root)))
     return values[root[linked]], values[linked]
 
@@ -244,29 +261,7 @@ def wide_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nd
             _merge(root, left[hit], left[hit] + shift)
         shift += 1
     for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        own = prints[order[at : at + n]]
-        for k in range(0, n, 256):
-            # probes need no lanes of their own component: whatever the largest one holds is compared with the rest only
-            roots = root[at : at + n]
-            names, counts = np.unique(roots, return_counts=True)
-            inside = roots == names[counts.argmax()]
-            probes = np.arange(k, min(k + 256, n))
-            for some, others in ((probes[inside[probes]], np.flatnonzero(~inside)), (probes[~inside[probes]], np.arange(n))):
-                if not len(some) or not len(others):
-                    continue
-                planes = [planes_of(own[others, w]) for w in range(words)]
-                lanes = _lane_bits(len(others))
-                width = len(lanes)
-
-                def differ(p: int, live: np.ndarray) -> np.ndarray:
-                    bit = (own[some, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)
-                    return planes[p >> 6][p & 63][live % width] ^ np.where(bit == 1, _ONES, np.uint64(0))[live // width]
-
-                near = within_wide(differ, (len(some), width), lanes, 64 * words, radius)
-                for i in np.flatnonzero(near.any(axis=1)):
-                    other = others[_places(near[i])]
-                    other = other[other != some[i]]
-                    _merge(root, np.full(len(other), at + some[i]), at + other)
+        _link_block(prints[order[at : at + n]], root[at : at + n], at, lambda differ, shape, lanes: within_wide(differ, shape, lanes, 64 * words, radius))
     linked = np.flatnonzero(root != np.arange(len(root)))
     return order[root[linked]], order[linked]
 
