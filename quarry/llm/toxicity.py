@@ -196,7 +196,7 @@ def _even(share: float) -> Machine:
 
 
 class Scorer:
-    """The three largest word values of each text and the log of its words, remembering the values of words."""
+    """The log-odds of the three most toxic words of each text and the log of its words, remembering the values of words."""
 
     def __init__(self, machine: Machine):
         self.machine, self.known = machine, {}
@@ -216,6 +216,9 @@ class Scorer:
                 best = heapq.nlargest(3, map(known.__getitem__, words))
                 out[i, : len(best)] = best
                 out[i, 3] = np.log1p(len(words))
+        # squared hinge against both labels estimates 2 p - 1, so this is the log-odds of a word
+        value = np.clip(out[:, :3], -0.999, 0.999)
+        out[:, :3] = np.log((1 + value) / (1 - value))
         return out
 
 
@@ -256,9 +259,10 @@ def _altered(words: list[bytes]) -> list[bytes]:
     return out
 
 
-def _fit(bad: list[bytes], weights: np.ndarray, good: list[bytes], rounds: int = 3) -> Machine:
+def _fit(bad: list[bytes], weights: np.ndarray, chance: np.ndarray, good: list[bytes], rounds: int = 3) -> Machine:
+    """chance: the share of toxic ones among the documents that hold each word; the rest counts against it."""
     altered = _altered(bad)
-    bad, weights = bad + altered, np.concatenate([weights, np.zeros(len(altered))])
+    bad, weights, chance = bad + altered, np.concatenate([weights, np.zeros(len(altered))]), np.concatenate([chance, np.full(len(altered), 0.9)])
     bad_rows, bad_first = windows(bad)
     bag = np.repeat(np.arange(len(bad)), np.diff([*bad_first, len(bad_rows)]))
     good_rows = np.unique(windows(good)[0], axis=0)
@@ -271,9 +275,10 @@ def _fit(bad: list[bytes], weights: np.ndarray, good: list[bytes], rounds: int =
     bad_x, good_x = landmarks.kernel(bad_rows) @ root, landmarks.kernel(good_rows) @ root
     chosen = np.arange(len(bad_rows))
     for _ in range(rounds):
-        x = np.concatenate([bad_x[chosen], good_x])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(good_x))])
-        cost = np.concatenate([np.full(len(chosen), 1 / len(chosen)), np.full(len(good_x), 4 / max(len(good_x), 1))]) * 100
+        x = np.concatenate([bad_x[chosen], bad_x[chosen], good_x])
+        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(chosen) + len(good_x))])
+        sure = chance[bag[chosen]]
+        cost = np.concatenate([sure / len(chosen), (1 - sure) / len(chosen), np.full(len(good_x), 4 / max(len(good_x), 1))]) * 100
         w = _svm(x, y, cost)
         order = np.lexsort((-(bad_x @ w[:-1]), bag))
         chosen = order[np.unique(bag[order], return_index=True)[1]]
@@ -318,7 +323,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     clean = words.where((F.col("clean") > 0) & (chance < CHANCE))
     good = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).select("word").collect()]
     bad_words, weight = [bytes(r["word"]) for r in bad], np.array([r["toxic"] for r in bad], float)
-    machine = _fit(bad_words, weight, good)
+    share = np.array([(r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in bad])
+    machine = _fit(bad_words, weight, share, good)
     for _ in range(2):  # clean words that score high become negatives, too
         shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -332,7 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
         hard = clean.select("word").mapInArrow(value, "word binary, v float").orderBy(F.desc("v"), "word").limit(MAX_WORDS // 2).select("word").collect()
         good = list(dict.fromkeys(good + [bytes(r["word"]) for r in hard]))
-        machine = _fit(bad_words, weight, good)
+        machine = _fit(bad_words, weight, share, good)
     frame = _figures(sample, machine, ("y",)).toPandas()
     machine.curve = _curve(frame[list(_FIGURES)].to_numpy(float), frame["y"].to_numpy(float))
     return machine
