@@ -150,24 +150,57 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _far(weights: np.ndarray, bias: np.ndarray) -> float:
+    """No logit is larger, as states lie between -1 and 1."""
+    return float((np.abs(weights).sum(axis=-2) + np.abs(bias)).max())
+
+
+def _log_sum(logits: np.ndarray, far: float) -> np.ndarray:
+    """Log of the sum of exponentials by row; spoils logits."""
+    if far >= 80:
+        top = logits.max(axis=1)
+        return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    np.exp(logits, out=logits)
+    return np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
 def log_outputs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log P(class | state), times P(word | class, state) for head words, of each target."""
     own = class_of(target)
-    logits = h @ w["wc"] + w["bc"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(h)), own] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    order = np.argsort(own, kind="stable")
+    logits = h @ w["wc"]
+    logits += w["bc"]
+    out = logits[np.arange(len(h)), own] - _log_sum(logits, _far(w["wc"], w["bc"]))
+    order = np.argsort(own.astype(np.int16), kind="stable")
     edges = np.searchsorted(own[order], np.arange(HEAD_CLASSES + 1))
-    per = HEAD // HEAD_CLASSES
+    per, far = HEAD // HEAD_CLASSES, _far(w["ww"], w["bw"])
     for c in range(HEAD_CLASSES):
         rows = order[edges[c] : edges[c + 1]]
         if len(rows):
-            words = h[rows] @ w["ww"][c] + w["bw"][c]
-            top = words.max(axis=1)
-            out[rows] += words[np.arange(len(rows)), target[rows] - c * per] - top - np.log(np.exp(words - top[:, None]).sum(axis=1))
+            words = h[rows] @ w["ww"][c]
+            words += w["bw"][c]
+            out[rows] += words[np.arange(len(rows)), target[rows] - c * per] - _log_sum(words, far)
     return out
 
 
+def _advance(rows: np.ndarray, u: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """step() without what a derivative needs; rows: the inputs' weights with the bias, which are spoilt."""
+    gh = h @ u
+    gates = rows[:, : 2 * HIDDEN]
+    gates += gh[:, : 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    n = gh[:, 2 * HIDDEN :]
+    n *= gates[:, :HIDDEN]
+    n += rows[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= gates[:, HIDDEN:]
+    new += n
+    return new
+
+
 def train_replica(w: dict[str, np.ndarray], tokens: np.ndarray, end: int, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE) -> dict[str, np.ndarray]:
     """Truncated backpropagation through time over a sequence of documents, cut into parallel streams."""
     w = {k: v.copy() for k, v in w.items()}
@@ -254,10 +287,11 @@ def score_sequences(w: dict[str, np.ndarray], tokens: np.ndarray, sizes: np.ndar
 
     live = len(own)
     numbers = np.arange(len(own))
+    by_input = w["wx"] + w["b"]
     for t in range(int(own[0]) if len(own) else 0):
         while live and own[live - 1] <= t:
             live -= 1
-        h = step(w, inputs[:live], h[:live])[0]
+        h = _advance(by_input[inputs[:live]], w["u"], h[:live])
         inputs = tokens[base[:live] + t]
         states.append(h), goals.append(inputs), whose.append(numbers[:live])
         held += live
