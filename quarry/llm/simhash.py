@@ -17,6 +17,7 @@ id unless it has no other; an empty table gives no rows; extra columns are ignor
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -343,34 +344,78 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(of, rows["fp"] == of["of_fp"]).select(id_column, "fp", "component_id")
 
 
-WIDE_WORDS, LEAST_SHINGLES, SLACK = 8, 8, 0.06
+WIDE_WORDS, LEAST_SHINGLES, SLACK = 8, 8, 0.3
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every document, linked where shingle sets are similar.
+def text_key(text_column: str = "text"):
+    """128 bits of the text; with the id, what tells rows apart. Null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
 
-    For similarities well under one, 64 bits and 3 of them are too few. Here 512-bit
-    fingerprints are compared, bit-sliced, between documents that share one of the 8 least
-    shingle hashes of either; a pair links when its differing bits are no more than those
-    expected at the similarity less SLACK (1.5 standard deviations of the estimate), so
-    that pairs at the similarity itself are caught. Texts without words are one group.
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    """WIDE_WORDS words of majorities, over remixed hashes."""
+    return b"".join(int(majority(_remixed(hashes, k))).to_bytes(8, "little") for k in range(WIDE_WORDS))
+
+
+def set_node(distinct: np.ndarray) -> int:
+    """64 bits, signed, of a set of shingle hashes in order."""
+    return int.from_bytes(hashlib.blake2b(distinct.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def exact_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Component of each set, by its smallest place, where pairs of exact Jaccard similarity are linked.
+
+    Sets are compared with those of other components only; pairs whose sizes alone rule the
+    similarity out are passed over.
     """
+    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+    parts = np.split(codes, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(names), bool)
+    for i in range(len(sets) - 1):
+        others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[low / np.maximum(high, 1) >= similarity]
+        if not len(others):
+            continue
+        marked[parts[i]] = True
+        met = {root[i]}
+        for j in others:
+            if root[j] not in met:
+                common = np.count_nonzero(marked[parts[j]])
+                if common / (sizes[i] + sizes[j] - common) >= similarity:
+                    met.add(root[j])
+        marked[parts[i]] = False
+        if len(met) > 1:
+            root[np.isin(root, list(met))] = min(met)
+    return root
+
+
+def _keyed_groups(docs: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """id, key (of the text), fp, and least: the smallest (no_id, id, key) of the row's component."""
     kind = dict(docs.dtypes)[id_column]
+    keyed = clashless(docs, id_column, text_column).withColumn("key", text_key(text_column))
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            prints, keys = [], []
+            prints, keys, nodes = [], [], []
             for text in binary_column(batch, text_column):
                 hashes = shingle_hashes(text, shingle)
-                prints.append(b"".join(int(majority(_remixed(hashes, k))).to_bytes(8, "little") for k in range(WIDE_WORDS)))
-                keys.append(np.unique(hashes)[:LEAST_SHINGLES].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_column, "fp", "keys"])
-
-    radius = wide_radius(similarity - SLACK, 64 * WIDE_WORDS)
-    rows = checkpointed(clashless(docs, id_column, text_column).mapInArrow(scan, f"`{id_column}` {kind}, fp binary, keys array<bigint>"))
-    nodes = rows.groupBy("fp").agg(F.min(id_column).alias("low"), F.min("keys").alias("keys")).withColumn("node", F.xxhash64("fp"))
+                distinct = np.unique(hashes)
+                prints.append(wide_print(hashes))
+                keys.append(distinct[:LEAST_SHINGLES].view(np.int64))
+                nodes.append(set_node(distinct))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(id_column), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [id_column, "key", "node", "fp", "keys"],
+            )
+
+    radius = wide_radius(max(similarity - SLACK, 0.0), 64 * WIDE_WORDS)
+    rows = checkpointed(keyed.mapInArrow(scan, f"`{id_column}` {kind}, key binary, node bigint, fp binary, keys array<bigint>"))
+    first = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.col("key").alias("key"))
+    nodes = rows.groupBy("node").agg(F.min(first).alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -384,11 +429,63 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b]))], ["a", "b"])
 
     buckets = nodes.select(F.explode("keys").alias("bucket"), "node", "fp").repartition(shuffle_width(docs.sparkSession), "bucket")
-    linked = components(buckets.mapInArrow(compare, "a bigint, b bigint").where("a < b").distinct())
-    of = nodes.select("fp", "low", F.col("node").alias("n")).join(linked, F.col("n") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "n").alias("root"))
-    least = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return rows.select(id_column, "fp").join(of, F.col("fp") == F.col("of_fp")).select(id_column, "fp", "component_id")
+    loose = components(buckets.mapInArrow(compare, "a bigint, b bigint").where("a < b").distinct())
+    loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("in_node"), F.col("root").alias("loose"))
+    members = nodes.join(loose, F.col("node") == F.col("in_node")).select("node", "loose", F.col("low.key").alias("of_key"))
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for batch in batches:
+            out: list[tuple] = []
+            for node, group, text in zip(batch.column("node").to_pylist(), batch.column("loose").to_pylist(), binary_column(batch, text_column)):
+                if node not in seen:
+                    seen.add(node)
+                    out.append((node, group, np.unique(shingle_hashes(text, shingle)).astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "loose", "shingles"])
+
+    def decide(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def settled(group: dict[int, bytes]):
+            names = np.sort(np.fromiter(group, np.int64, len(group)))
+            root = exact_roots([np.frombuffer(group[k], "<u8") for k in names.tolist()], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], ["node", "root"])
+
+        group, at = {}, None
+        for batch in batches:
+            for node, loose_root, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "loose", "shingles"))):
+                if loose_root != at and group:
+                    yield settled(group)
+                    group = {}
+                at = loose_root
+                group[node] = shingles
+        if group:
+            yield settled(group)
+
+    texts = keyed.select("key", text_column).join(members, F.col("key") == F.col("of_key")).select("node", "loose", text_column)
+    dealt = texts.mapInArrow(sets, "node bigint, loose bigint, shingles binary").repartition(shuffle_width(docs.sparkSession), "loose").sortWithinPartitions("loose")
+    linked = dealt.mapInArrow(decide, "node bigint, root bigint").select(F.col("node").alias("n"), "root")
+    of = nodes.select("node", "low").join(linked, F.col("node") == F.col("n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    of = checkpointed(of)
+    least = of.groupBy("root").agg(F.min("low").alias("least"))
+    of = of.join(least, "root").select(F.col("node").alias("of_node"), "least")
+    return rows.select(id_column, "key", "node", "fp").join(of, F.col("node") == F.col("of_node")).select(id_column, "key", "fp", "least")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every document, linked where shingle sets are similar.
+
+    For similarities well under one, 64 bits and 3 of them are too few. Here 512-bit
+    fingerprints are compared, bit-sliced, between documents that share one of the 8 least
+    shingle hashes of either, at a similarity less SLACK (some six standard deviations of
+    the estimate). This only chooses what to compare: within the groups so met, pairs link
+    by the exact Jaccard similarity of their sets of distinct shingles. Texts of equal sets
+    are one node; texts without words are one group.
+    """
+    found = _keyed_groups(docs, shingle, similarity, id_column, text_column)
+    return found.select(id_column, "fp", F.col("least.id").alias("component_id"))
 
 
 def hex_fingerprint(column: str = "fp"):

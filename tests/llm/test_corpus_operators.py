@@ -275,3 +275,26 @@ def test_scores_do_not_depend_on_company():
     first = np.cumsum(sizes) - sizes
     alone = [gru_lm.score_sequences(w, tokens[a : a + n], np.array([n]))[0] for a, n in zip(first, sizes)]
     assert together == pytest.approx(alone, rel=1e-4)
+
+
+def brute_groups(texts):
+    sets = [{int(h) for h in simhash.shingle_hashes((t or "").encode(), 5)} for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    return components(pairs, len(sets))
+
+
+def test_similar_groups_around_the_threshold(spark):
+    """Pairs link by exact Jaccard similarity at 0.8, not by an estimate of it."""
+    rng, texts = random.Random(11), []
+    for n in (6, 8, 9, 13, 30, 60, 200, 400):
+        for changed in range(1, 1 + n // 8):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            other = words[:]
+            for k in range(changed if n > 30 else 1):
+                other[rng.choice([0, n - 1]) if n <= 30 else rng.randrange(n)] = f"x{rng.randrange(10**9)}"
+            texts += [" ".join(words), " ".join(other)]
+    for extra in range(1, 60):  # at the end of 100 distinct shingles: similarity 100 / (100 + extra)
+        words = [f"v{rng.randrange(10**9)}" for _ in range(104)]
+        texts += [" ".join(words), " ".join(words + [f"y{rng.randrange(10**9)}" for _ in range(extra)])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == list(brute_groups(texts))
