@@ -352,9 +352,9 @@ def text_key(text_column: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
 
 
-def wide_print(hashes: np.ndarray) -> bytes:
-    """WIDE_WORDS words of majorities, over remixed hashes."""
-    return b"".join(int(majority(_remixed(hashes, k))).to_bytes(8, "little") for k in range(WIDE_WORDS))
+def wide_print(distinct: np.ndarray) -> bytes:
+    """WIDE_WORDS words of majorities, over remixed hashes of a set: repeats don't count."""
+    return b"".join(int(majority(_remixed(distinct, k))).to_bytes(8, "little") for k in range(WIDE_WORDS))
 
 
 def set_node(distinct: np.ndarray) -> int:
@@ -402,9 +402,8 @@ def _keyed_groups(docs: DataFrame, shingle: int, similarity: float, id_column: s
         for batch in batches:
             prints, keys, nodes = [], [], []
             for text in binary_column(batch, text_column):
-                hashes = shingle_hashes(text, shingle)
-                distinct = np.unique(hashes)
-                prints.append(wide_print(hashes))
+                distinct = np.unique(shingle_hashes(text, shingle))
+                prints.append(wide_print(distinct))
                 keys.append(distinct[:LEAST_SHINGLES].view(np.int64))
                 nodes.append(set_node(distinct))
             yield pa.RecordBatch.from_arrays(

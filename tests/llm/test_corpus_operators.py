@@ -298,3 +298,24 @@ def test_similar_groups_around_the_threshold(spark):
         texts += [" ".join(words), " ".join(words + [f"y{rng.randrange(10**9)}" for _ in range(extra)])]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == list(brute_groups(texts))
+
+
+def test_similar_groups_of_repeated_lines(spark):
+    """Repeats of a line neither part texts of one shingle set nor join texts that share only the line."""
+    rng, texts = random.Random(12), []
+    for _ in range(6):
+        words, line = [f"w{rng.randrange(10**9)}" for _ in range(300)], [f"l{rng.randrange(10**9)}" for _ in range(8)]
+        texts += [" ".join(words + line * 2), " ".join(words + line * 100)]
+    line = [f"c{k}" for k in range(8)]
+    for _ in range(12):
+        texts.append(" ".join([f"u{rng.randrange(10**9)}" for _ in range(120)] + line * rng.randint(50, 100)))
+    want = brute_groups(texts)
+    assert want == [k - k % 2 if k < 12 else k for k in range(24)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(24)] == want
+
+
+def test_wide_print_is_of_the_set(spark):
+    texts = ["x y z " * 4 + "a b c d e", "x y z " * 90 + "a b c d e"]
+    fps = [bytes(r["fp"]) for r in simhash.similar_groups(documents(spark, texts)).collect()]
+    assert fps[0] == fps[1]
