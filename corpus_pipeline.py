@@ -24,10 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents (five-word shingles, 0.8), the one of the smallest id stays, once."""
-    kept = simhash.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of similar documents (five-word shingles, 0.8), the row of the smallest id stays, once.
+
+    Rows are told apart by id and text: several texts of one id, or of none, are judged
+    separately. Null ids come last, and of one id the smallest text key stays.
+    """
+    kept = simhash.representatives(docs).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    keyed = docs.withColumn("text_key", simhash.text_key())
+    stay = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Base secrets, and added candidates that look live, give way to a mark; n_chars follows the text."""
-    found = secrets.scan(docs).select(F.col("doc_id").alias("of_id"), F.concat("base", "live").alias("spans")).where(F.size("spans") > 0)
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
+    # spans follow from the text and the corpus, so they are looked up by text: ids may repeat or be null
+    keyed = docs.withColumn("text_key", simhash.text_key())
+    found = secrets.scan(keyed, id_column="text_key").select(F.col("text_key").alias("of_key"), F.concat("base", "live").alias("spans")).where(F.size("spans") > 0)
+    joined = keyed.join(found.dropDuplicates(["of_key"]), F.col("text_key") == F.col("of_key"), "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

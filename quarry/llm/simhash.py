@@ -487,5 +487,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     return found.select(id_column, "fp", F.col("least.id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, key) of the least row of each group of similar documents; key is text_key of its text."""
+    least = _keyed_groups(docs, shingle, similarity, id_column, text_column).select("least").distinct()
+    return least.select(F.col("least.id").alias(id_column), F.col("least.key").alias("key"))
+
+
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0")).alias("fingerprint")

@@ -162,3 +162,17 @@ def test_pipeline(spark, corpus, tmp_path):
 
 def test_wide_radius():
     assert simhash.wide_radius(1.0, 512) == 0 < simhash.wide_radius(0.9, 512) < simhash.wide_radius(0.8, 512)
+
+
+def test_pipeline_rows_of_null_and_repeated_ids(spark, tmp_path):
+    texts = [prose(60) for _ in range(8)]
+    secret = f'{prose(30)} password="ABCDEFGH12345678" {prose(30)}'
+    rows = [(None, texts[0]), (None, texts[1]), (None, secret), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3]), (7, texts[4]), (9, texts[4]), (1, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame([(i, t, "src", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    unique = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    want = [(None, texts[0]), (None, texts[1]), (None, secret), (7, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5])]
+    order = lambda x: (x[0] or -1, x[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in unique.collect()), key=order) == sorted(want, key=order)
+    masked = corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).collect()
+    hidden = [(i, secrets.brute_force(t) and t[: secrets.brute_force(t)[0][1]] + "[SECRET]" + t[secrets.brute_force(t)[0][2] :] or t) for i, t in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in masked), key=order) == sorted(hidden, key=order)
