@@ -2,7 +2,7 @@
 
 Base candidates are assignments, access keys and hexadecimal runs. The method adds
 candidates of looser shapes (vendor prefixes, bearer values, key blocks, credentials
-in addresses, long mixed values) and keeps those that look live: the hash of each
+in addresses) and keeps those that look live: the hash of each
 candidate is counted by distinct owners and repositories over the whole corpus, and
 one that many owners carry is a copied example, one that few owners carry a live
 credential. Counting is by partial aggregates, first by (hash, owner, repository),
@@ -39,6 +39,18 @@ MORE = (
     ("url", r"\b[a-z][a-z0-9+.-]{1,12}://[^\s:/@]+:([^\s:/@]{6,})@", 1, "://"),
     ("block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "-----BEGIN"),
 )
+_KEY = "[A-Z ]*PRIVATE KEY-----"
+#: In place of the pattern in MORE, which the SQL reads: a key's whole block with its body as the secret. Where the END
+#: line is missing, the body is the lines of base64 after the header; a header without a body holds no secret.
+WHOLE = {
+    "block": (
+        rf"-----BEGIN {_KEY}(?:\s|\\[nr])*("
+        rf"[^-]*+(?:-{{1,4}}[^-]++){{0,64}}(?=-----END {_KEY})"
+        r"|(?:[A-Za-z0-9+/=]{16,}(?:\s|\\[nr])*){0,512}(?:[A-Za-z0-9+/]{1,15}={1,2})?)"
+        rf"(?:-----END {_KEY})?",
+        1,
+    )
+}
 #: A candidate held by more owners than this is a copied example.
 FEW_OWNERS = 2
 _BLOCK = 128
@@ -102,6 +114,7 @@ def candidates(docs: DataFrame, text_column: str = "text") -> DataFrame:
         found = text.rlike(asked) if kind != "hex" else F.lit(True)
         out = out.withColumn(f"_{kind}", F.when(hints[kind] & found, spans).otherwise(_none()))
     for rank, (kind, pattern, group, hint) in enumerate(MORE, len(BASE)):
+        pattern, group = WHOLE.get(kind, (pattern, group))
         sure = F.lit(True)
         if not any(c in hint for c in "|("):
             sure = text.contains(hint)

@@ -189,3 +189,23 @@ def test_redaction(spark):
     docs = documents(spark, ['a token="ABCDEFGHIJKLMNOP" 0123456789abcdef0', "clean", 'é password=0123456789abcdef'])
     found = secrets.candidates(docs).select("doc_id", secrets.redacted(F.col("text"), F.col("base")).alias("t"))
     assert {r["doc_id"]: r["t"] for r in found.collect()} == {0: 'a [SECRET]" [SECRET]', 1: "clean", 2: "é [SECRET]"}
+
+
+def test_private_keys(spark):
+    """The body is the secret: keys of one type are told apart, and the whole block is the span."""
+    def block(letter, end=True, kind="RSA "):
+        lines = "\n".join(f"{letter}{k}".ljust(64, letter) for k in range(12))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n" + (f"-----END {kind}PRIVATE KEY-----" if end else "")
+
+    legacy = block("L").replace("-----\nL0", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nL0")
+    bare = "the line -----BEGIN PRIVATE KEY----- starts a key - so it is said"
+    keys = [block("A"), block("B"), block("C"), *[block("D")] * 3, legacy, block("E", end=False), block("F", kind="").replace("\n", "\\n")]
+    texts = [f"ä {k} then prose follows" for k in keys] + [bare]
+    rows = {r["doc_id"]: r for r in secrets.scan(documents(spark, texts)).collect()}
+    for k, key in enumerate(keys):
+        spans = [(x["s"], x["e"]) for x in rows[k]["live"] if x["kind"] == "block"]
+        if k in (3, 4, 5):  # three sources hold it: a copied example
+            assert spans == [] and rows[k]["n_copied"] == 1
+        else:
+            assert spans == [(2, 2 + len(key) + (not key.endswith("-----")))], k
+    assert rows[len(keys)]["live"] == [] and rows[len(keys)]["n_owned"] == 0
