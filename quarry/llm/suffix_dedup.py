@@ -235,9 +235,9 @@ class Family:
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, tag and text: several rows of one id are told apart by a tag from their texts."""
+    """id, tag and text: several rows of one id are told apart by a tag, 64 bits of their texts."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63))).alias("id"), (F.xxhash64(text).bitwiseAND(0xFFFF)).cast("int").alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 place = (low.astype(np.int64) << 24) | ((size - length) << 12) | offset
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(ids[which]), pa.array(tags[which]), pa.array(place)], ["gram", "region", "id", "tag", "place"])
 
-    return keyed.mapInArrow(scan, "gram bigint, region bigint, id bigint, tag int, place bigint")
+    return keyed.mapInArrow(scan, "gram bigint, region bigint, id bigint, tag bigint, place bigint")
 
 
 def _index(rows: DataFrame, length: int, gram: int) -> DataFrame:

@@ -319,3 +319,15 @@ def test_wide_print_is_of_the_set(spark):
     texts = ["x y z " * 4 + "a b c d e", "x y z " * 90 + "a b c d e"]
     fps = [bytes(r["fp"]) for r in simhash.similar_groups(documents(spark, texts)).collect()]
     assert fps[0] == fps[1]
+
+
+def test_many_texts_of_one_id(spark):
+    """Texts of one id, or of none, never get each other's spans: 3 000 share few tags of 16 bits, none of 64."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(3000):
+        own = "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+        rows.append((None if k % 2 else 5, own + ("0123456789" * 3 if k % 3 == 0 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, 20, 6).collect())
+    assert got == sorted(suffix_dedup.brute_force([t for _, t in rows], 20))
