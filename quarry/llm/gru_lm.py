@@ -11,9 +11,9 @@ word within its class, so that a token's probability is P(class | state) P(word
 class, state), or P(class | state) times the word's share. Biases start at the
 corpus' own frequencies, so that training starts from the unigram model.
 
-Training is truncated backpropagation through time on every SHARE-th training
-document (by hash, so it grows with the corpus), in replicas of bounded text that
-start from the same weights; the weights are averaged, in ROUNDS rounds. Scoring
+Training is truncated backpropagation through time on every training document, each
+in one of ROUNDS rounds (by hash; SHARE thins them out), in replicas of bounded text
+that start from the same weights; the weights are averaged after a round. Scoring
 covers every whole document, its state carried from window to window; documents of a
 chunk advance together. A chunk asks the bucket tasks for the counts of its distinct
 words, so no table of the vocabulary is ever sent whole.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.common import binary_column, crc_mod, shuffle_width, spaced_words, written
 
 HEAD, HEAD_CLASSES, TAILS, HIDDEN = 1024, 32, 32, 24
-SHARE, ROUNDS, STREAMS, STEPS, RATE = 8, 2, 32, 20, 2e-2
+SHARE, ROUNDS, STREAMS, STEPS, RATE = 1, 2, 32, 20, 2e-2
 #: Bytes of text of a chunk that is scored together, and of a training replica.
 CHUNK_BYTES, REPLICA_BYTES = 16 << 20, 3 << 20
 _END = b"\n"  # no word holds white space

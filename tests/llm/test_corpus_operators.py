@@ -331,3 +331,17 @@ def test_many_texts_of_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, 20, 6).collect())
     assert got == sorted(suffix_dedup.brute_force([t for _, t in rows], 20))
+
+
+def test_every_training_document_is_learnt(spark, monkeypatch):
+    """The rounds' replicas together go over each training token once."""
+    learnt, average = [], gru_lm._average
+
+    def counted(rows):
+        out = average(rows)
+        learnt.append(out[1] if out else 0)
+        return out
+
+    monkeypatch.setattr(gru_lm, "_average", counted)
+    row = gru_lm.score_documents(documents(spark, LM_TEXTS)).first()
+    assert sum(learnt) == row["train_tokens"]
