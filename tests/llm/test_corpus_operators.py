@@ -345,3 +345,47 @@ def test_every_training_document_is_learnt(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "_average", counted)
     row = gru_lm.score_documents(documents(spark, LM_TEXTS)).first()
     assert sum(learnt) == row["train_tokens"]
+
+
+def test_components_out_of_the_range_of_squares(spark):
+    """Finite vectors of any size take part, by their exact distances."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(34, 6))
+    x[2:20, 3] *= 1e200
+    x[20:30] *= 1e-200
+    x[1] = x[0] + np.array([1.0, 0, 0, 0, 0, 0])
+    x[33] = 1.7e308
+    x[32] = -x[33]
+    rows = ann.search(spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), every=8).collect()
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 8, 16, 24, 32} and all(len(v) == 10 for v in got.values())
+    from math import dist
+
+    for q, hits in got.items():
+        scale = 2.0**-20 if q else 1.0
+        exact = {i: dist(x[q] * scale, x[i] * scale) / scale for i in range(34) if i != q}
+        assert [s for _, s in hits] == pytest.approx([exact[i] for i, _ in hits], rel=1e-9)
+    assert got[0][0][1] <= 1.0
+
+
+def test_probes_are_fitted_and_prune(spark):
+    """The share of vectors that a query meets falls as the table grows, at a recall over 0.9."""
+    rng, shares = np.random.default_rng(12), []
+    for n in (2000, 16_000):
+        x = rng.normal(size=(n, 32))
+        hasher = ann.Hasher(32, n)
+        frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "class long, vec array<double>")
+        asked = frame.where("class % 400 = 0").withColumnRenamed("class", "query")
+        looks = ann.probes_needed(asked, frame, hasher, 11)
+        q = np.arange(0, n, 100)
+        met = np.zeros((len(q), n), bool)
+        for t in range(hasher.tables):
+            (first, fine), (own, code) = hasher.probes(x[q], t, looks), hasher.buckets(x, t)
+            for k in range(len(q)):
+                met[k] |= np.isin(own * (1 << 40) + code, first[k] * (1 << 40) + fine[k])
+        want = ann.brute_force(np.arange(n), x)
+        assert np.mean([met[k, i] for k in range(len(q)) for i, _ in want[int(q[k])]]) >= 0.9
+        shares.append(met.mean())
+    assert shares[1] < 0.8 * shares[0]
