@@ -2,18 +2,25 @@
 
 The automaton holds notice phrases as word sequences and the tag that announces a
 licence expression. An expression is put into reverse Polish order by the
-shunting-yard rule (with binds tightest, then and, then or) and evaluated to the
-set of licences that it names; one that doesn't parse adds no labels.
+shunting-yard rule (with binds tightest, then and, then or) and evaluated to its
+simplest form: chains of one operator are flat, and what another part already asks for
+or allows is gone. Each licence named is a label; where the form leaves a choice, the
+form is a label, too ("choice:..."), so that "a or b" and "a and b" differ. An
+expression ends where something else begins; one that doesn't parse adds no labels.
 
 Defined cases: a null or empty text has no words, no places and no labels, score 0;
-matches may overlap and repeat, each place counts; rows are independent.
+matches may overlap and repeat, each place counts; rows are independent, those of a
+null or repeated doc_id, too; texts are scanned whole, in time linear in their length;
+names that only stand for one licence in two ways have one label (see canonical).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from quarry.llm.common import alnum_words, binary_column, clashless
@@ -49,18 +56,35 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 _LINE = re.compile(r"spdx[-_ ]licen[sc]e[-_ ]identifier\s*:?[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?|[^\s()]")
+#: How names of licences begin in tag expressions, beside "licenseref-".
+FAMILIES = frozenset("0bsd afl agpl apache artistic blueoak boost bsd bsl cc cc0 cddl cecill cpl ecl efl epl eupl gfdl gpl icu isc lgpl lppl mit mpl ms mulanpsl ncsa odbl ofl openssl osl php postgresql psf python ruby sspl unicode unlicense upl vim wtfpl x11 zlib zpl".split())
 #: How much one kind of evidence is worth on its own.
 WORTH = {"base": 0.9, "notice": 0.6, "expression": 0.95}
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Reverse Polish order of a licence expression, lower-cased. ValueError where it isn't one."""
+def canonical(name: str) -> str:
+    """One label a licence: versions without ".0", none for Creative Commons, "only" unsaid, "+" as "or later"."""
+    name = re.sub(r"\.0(?![0-9.])", "", name.lower())
+    name = re.sub(r"\+$", "-or-later", re.sub(r"-only$", "", name))
+    return re.sub(r"-[0-9][0-9.]*$", "", name) if name.startswith("cc-") else name
+
+
+def is_licence(name: str) -> bool:
+    return name.startswith("licenseref-") or re.split(r"[-0-9]", name, maxsplit=1)[0] in FAMILIES or name.split("-")[0] in FAMILIES
+
+
+def to_postfix(expression: str, known=None) -> list[str]:
+    """Reverse Polish order of a licence expression, lower-cased. ValueError where it isn't one.
+
+    known tells names of licences from other words: with it, the expression ends before an operator that no licence follows.
+    """
+    tokens = _TOKEN.findall(expression.lower())
     out: list[str] = []
     waiting: list[str] = []
     want_name = True
-    for token in _TOKEN.findall(expression.lower()):
+    for k, token in enumerate(tokens):
         if token == "(":
             if not want_name:
                 break  # an expression ends where something else begins
@@ -73,11 +97,14 @@ def to_postfix(expression: str) -> list[str]:
         elif token in _BINDS:
             if want_name:
                 raise ValueError(f"{token} without a licence before it")
+            after = next((x for x in tokens[k + 1 :] if x != "("), "")
+            if known and token != "with" and not known(after):
+                break
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[token]:
                 out.append(waiting.pop())
             waiting.append(token)
             want_name = True
-        elif want_name:
+        elif want_name and token[0].isalnum() and (known is None or known(token) or waiting[-1:] == ["with"]):
             out.append(token)
             want_name = False
         else:
@@ -91,29 +118,70 @@ def to_postfix(expression: str) -> list[str]:
     return out
 
 
-def evaluate(postfix: list[str]) -> tuple[frozenset[str], list[frozenset[str]]]:
-    """All licences named, and the alternatives: each a set of licences that hold together."""
-    stack: list[list[frozenset[str]]] = []
+@dataclass(frozen=True)
+class Form:
+    """An expression in its simplest form: a name, or parts that all ("and") or one of which ("or") must hold."""
+
+    kind: str
+    parts: frozenset = frozenset()
+    name: str = ""
+
+    def names(self) -> set[str]:
+        out, left = set(), [self]
+        while left:
+            form = left.pop()
+            out |= {form.name} if form.kind == "name" else set()
+            left.extend(form.parts)
+        return out
+
+    def __str__(self) -> str:
+        if self.kind == "name":
+            return self.name
+        return f" {self.kind} ".join(sorted(f"({p})" if p.kind != "name" else str(p) for p in self.parts))
+
+
+def _joined(kind: str, sides: list[Form]) -> Form:
+    parts: set[Form] = set()
+    for side in sides:
+        parts |= side.parts if side.kind == kind else {side}
+    # a or (a and b) is a; a and (a or b) is a
+    kept = frozenset(p for p in parts if p.kind == "name" or not (p.parts & parts))
+    return next(iter(kept)) if len(kept) == 1 else Form(kind, kept)
+
+
+def evaluate(postfix: list[str]) -> Form:
+    """The simplest form of an expression; a chain of one operator is joined at once."""
+    stack: list[tuple[str, list[Form]]] = []  # an operator's sides wait until another operator comes
+
+    def settled(entry: tuple[str, list[Form]]) -> Form:
+        kind, sides = entry
+        return sides[0] if len(sides) == 1 else _joined(kind, sides)
+
     for token in postfix:
         if token not in _BINDS:
-            stack.append([frozenset([token])])
+            stack.append(("", [Form("name", name=canonical(token))]))
             continue
         if len(stack) < 2:
             raise ValueError("an operator lacks a side")
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append(list(dict.fromkeys(left + right)))
-        elif token == "and":
-            if len(left) * len(right) > 256:
-                stack.append([frozenset().union(*left, *right)])
-            else:
-                stack.append(list(dict.fromkeys(a | b for a in left for b in right)))
+        if token == "with":
+            exception, held = settled(right), settled(left)
+            if exception.kind != "name" or held.kind != "name":
+                raise ValueError("with joins a licence and an exception")
+            stack.append(("", [Form("name", name=f"{held.name} with {exception.name}")]))
+        elif left[0] == token:
+            left[1].append(settled(right))
+            stack.append(left)
         else:
-            (exception,) = right[0] if len(right) == 1 and len(right[0]) == 1 else ("?",)
-            stack.append([frozenset(f"{x} with {exception}" for x in a) for a in left])
+            stack.append((token, [settled(left), settled(right)]))
     if len(stack) != 1:
         raise ValueError("operators are missing")
-    return frozenset().union(*stack[0]), stack[0]
+    return settled(stack[0])
+
+
+def choices(form: Form) -> bool:
+    """Whether the form leaves a choice between licences."""
+    return form.kind == "or" or any(p.kind == "or" for p in form.parts)
 
 
 def automaton(phrases: dict[str, str], notices: dict[str, str]):
@@ -133,6 +201,7 @@ def automaton(phrases: dict[str, str], notices: dict[str, str]):
 def scan_text(text: bytes, machine) -> dict:
     words = alnum_words(text)
     joined = f" {b' '.join(words).decode()} " if words else ""
+    starts = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)[:-1]  # the space before each word
     places, base, more, kinds, tagged = [], set(), set(), set(), False
     for end, whats in machine.iter(joined):
         for kind, label, length in whats:
@@ -142,13 +211,17 @@ def scan_text(text: bytes, machine) -> dict:
             kinds.add(kind)
             (base if kind == "base" else more).add(label)
             if kind == "base":
-                places.append(joined.count(" ", 0, end - length + 1))
+                places.append(end - length + 1)
     for line in _LINE.findall(text.decode()) if tagged else ():
         try:
-            more |= evaluate(to_postfix(line))[0]
-            kinds.add("expression")
+            form = evaluate(to_postfix(line, is_licence))
         except ValueError:
             continue
+        kinds.add("expression")
+        more |= form.names()
+        if choices(form):
+            more.add(f"choice:{form}")
+    places = np.searchsorted(starts, places).tolist()
     miss = 1.0
     for kind in sorted(kinds):
         miss *= 1 - WORTH[kind]
