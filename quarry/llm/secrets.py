@@ -14,7 +14,8 @@ sums are taken in blocks, so that the work stays near linear in the matches.
 
 Defined cases: null and empty texts have no candidates and the digest of the empty
 string; a null owner or repository counts as one owner of its own; repeated rows and
-repeated doc_ids keep their rows; extra columns are ignored.
+repeated or null doc_ids keep their rows, each with its own spans and counts; texts are
+searched whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,21 +150,24 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", id_
     """
     names = dict.fromkeys([id_column, owner, repository, text_column])
     # a small table of its own: the texts are searched once
-    found = written(candidates(docs.select(*names), text_column).drop(*{text_column} - {id_column, owner, repository}), f"candidates-{uuid.uuid4().hex}")
-    held = found.where(F.size("base") + F.size("extra") > 0)
-    known = ownership(found, owner, repository)
-    each = held.select(F.col(id_column).alias("of_id"), F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda x: F.sha2(x["secret"], 256)))).alias("hash"))
-    judged = each.distinct().join(known, "hash").groupBy("of_id").agg(
-        F.collect_set(F.when(F.col("owners") <= few_owners, F.col("hash"))).alias("owned"),
-        F.collect_set(F.when(F.col("owners") > few_owners, F.col("hash"))).alias("copied"),
-    )
-    joined = found.join(judged, found[id_column].eqNullSafe(judged["of_id"]), "left")
+    found = candidates(docs.select(*names), text_column).drop(*{text_column} - {id_column, owner, repository})
+    hashes = F.array_sort(F.array_distinct(F.transform(F.concat("base", "extra"), lambda x: F.sha2(x["secret"], 256))))
+    found = written(found.withColumn("hashes", hashes), f"candidates-{uuid.uuid4().hex}")
+    held = found.where(F.size("hashes") > 0)
+    known = ownership(held, owner, repository)
+    # rows of equal candidates are judged once: a row's own hashes are its key, so ids needn't tell rows apart
+    sets = held.select(F.xxhash64("hashes").alias("of_key"), "hashes").distinct().withColumnRenamed("hashes", "of_hashes")
+    each = sets.select("of_key", "of_hashes", F.explode("of_hashes").alias("hash"))
+    judged = each.join(known, "hash").groupBy("of_key", "of_hashes").agg(F.collect_set(F.when(F.col("owners") <= few_owners, F.col("hash"))).alias("owned"))
+    # rows without candidates would all meet under one key
+    joined = held.join(judged, (F.xxhash64("hashes") == F.col("of_key")) & (F.col("hashes") == F.col("of_hashes"))).drop("of_key", "of_hashes")
+    joined = joined.unionByName(found.where(F.size("hashes") == 0), allowMissingColumns=True)
     own = F.coalesce("owned", F.array().cast("array<string>"))
     live = F.filter("extra", lambda x: F.array_contains(own, F.sha2(x["secret"], 256)))
     return joined.select(
         F.col(id_column), "base", live.alias("live"),
         F.size(own).cast("bigint").alias("n_owned"),
-        F.coalesce(F.size("copied"), F.lit(0)).cast("bigint").alias("n_copied"),
+        (F.size("hashes") - F.size(own)).cast("bigint").alias("n_copied"),
     )
 
 

@@ -247,3 +247,12 @@ def test_private_keys(spark):
         else:
             assert spans == [(2, 2 + len(key) + (not key.endswith("-----")))], k
     assert rows[len(keys)]["live"] == [] and rows[len(keys)]["n_owned"] == 0
+
+
+def test_ownership_of_rows_and_not_of_ids(spark):
+    """Rows of one id, or of none, keep their own counts."""
+    copied, owned = "ghp_" + "A1b2C3d4E5f6G7h8I9j0", "ghp_" + "Z9y8X7w6V5u4T3s2R1q0"
+    rows = [(None, f"a {copied}", "x"), (None, f"b {copied} {owned}", "y"), (None, "c", "z"), (4, copied, "z"), (4, f"d {owned}", "y"), (4, "", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"hashes": F.lit("clash"), "of_key": F.lit(1), "owners": F.lit(2)})
+    got = sorted((r["doc_id"] or 0, r["n_owned"], r["n_copied"], r["spans"]) for r in secrets.digest(secrets.scan(docs)).collect())
+    assert got == [(0, 0, 0, ""), (0, 0, 1, ""), (0, 1, 1, "vendor:27:51"), (4, 0, 0, ""), (4, 0, 0, ""), (4, 0, 1, ""), (4, 1, 0, "vendor:2:26")]
