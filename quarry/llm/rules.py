@@ -1,18 +1,21 @@
 """Quality classifier: a sparse rule ensemble.
 
 Statistics of whole texts are columns; shallow boosted trees on a bounded labelled
-sample give paths, each path is a conjunction of thresholds, a lasso logistic fit
-keeps few of them, and the kept rules are compiled into one Spark column expression
+sample give paths, each path is a conjunction of thresholds, an L1-penalised logistic
+fit keeps few of them, and the kept rules are compiled into one Spark column expression
 over the statistics.
 
 The sample is at most MAX_TRAIN labelled rows, those of the smallest hash of doc_id
-among the rows allowed for learning; its size doesn't grow with the input. Scoring
+among the rows allowed for learning; its size doesn't grow with the input. Rows of one
+doc_id each count until the bound is reached, in the order of their statistics. Scoring
 covers every text whole.
 
 Defined cases: a null or empty text has all statistics zero and gets the score that
 the rules give to those; without labels of both kinds, every score is the share of
 label 1 among those seen (0.5 if none); repeated labels of a document each count;
-a null label is no label; extra columns are ignored.
+a null label is no label, a null doc_id has none; equal texts have equal scores; very
+long texts are read whole; empty tables give no rows; extra columns are ignored, or kept
+as they are where asked for.
 """
 
 from __future__ import annotations
@@ -140,7 +143,7 @@ def _grow(binned: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, rows: np
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, l1: float = 2e-3, steps: int = 300, seed: int = 7) -> Rules:
-    """Boosted trees for the paths, then lasso logistic weights by accelerated proximal gradient."""
+    """Boosted trees for the paths, then L1-penalised logistic weights by accelerated proximal gradient."""
     if not len(y):
         return Rules(0.0)
     share = float(y.mean())
@@ -203,11 +206,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_fold: int = 1, most: int = MAX_TRAIN) -> Rules:
-    sample = labelled_sample(docs, labels, label, folds, held_fold, most)
-    frame = with_statistics(sample, keep=("y",)).toPandas().sort_values("doc_id", kind="stable")
-    return fit(frame[[f"s_{c}" for c in STATISTICS]].to_numpy(float), frame["y"].to_numpy(float))
+    names = [f"s_{c}" for c in STATISTICS]
+    sample = with_statistics(labelled_sample(docs, labels, label, folds, held_fold, most), keep=("y",))
+    # repeated ids can make more rows than there are labels, so the bound holds here, too
+    frame = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *names).limit(most).toPandas()
+    return fit(frame[names].to_numpy(float), frame["y"].to_numpy(float))
 
 
-def score_documents(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_documents(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = (), score_column: str = "score") -> DataFrame:
     """doc_id, kept columns and score (0 to 1) of every document."""
-    return with_statistics(docs, keep=keep).withColumn("score", rules.column()).drop(*[f"s_{c}" for c in STATISTICS])
+    return with_statistics(docs, keep=keep).withColumn(score_column, rules.column()).drop(*[f"s_{c}" for c in STATISTICS])

@@ -176,3 +176,20 @@ def test_pipeline_rows_of_null_and_repeated_ids(spark, tmp_path):
     masked = corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).collect()
     hidden = [(i, secrets.brute_force(t) and t[: secrets.brute_force(t)[0][1]] + "[SECRET]" + t[secrets.brute_force(t)[0][2] :] or t) for i, t in rows]
     assert sorted(((r["doc_id"], r["text"]) for r in masked), key=order) == sorted(hidden, key=order)
+
+
+def test_quality_of_repeated_ids_and_empty_tables(spark, corpus, monkeypatch):
+    """Rows of one id can't make the sample larger than its bound, nor their order another model; no documents, no rows."""
+    docs, labels = corpus
+    many, labels = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") % 40), labels.where("doc_id < 40")
+    a = rules.train(many, labels, most=200)
+    b = rules.train(many.orderBy(F.desc("text")).repartition(3), labels, most=200)
+    assert a.rules == b.rules and a.intercept == b.intercept
+    seen = []
+    monkeypatch.setattr(rules, "fit", lambda x, y: seen.append(len(y)) or rules.Rules(0.0))
+    rules.train(many, labels, most=200)
+    assert seen == [200]
+    none = docs.limit(0)
+    for found in (rules.train(none, labels.limit(0)), a):
+        assert rules.score_documents(none, found).count() == 0
+    assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
