@@ -28,6 +28,19 @@ def spaced_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def word_hash(words: list[bytes]):
+    """XXH64 of each word."""
+    import numpy as np
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def text_key(text_column: str = "text") -> Column:
+    """128 bits of the text. Null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
+
+
 def binary_column(batch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column of an Arrow batch; null counts as empty."""
     import pyarrow as pa
@@ -47,8 +60,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and every task runs on this machine, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
 
 
 @functools.cache
@@ -56,11 +74,41 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="quarry-shared-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Tables that this process has written and not given up yet, by path.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder; discard() or sweep() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.options(**options).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    path = getattr(df, "_quarry_path", None)
+    if path and _WRITTEN.pop(path, None) is not None:
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete whatever written() has left, once the results that read it are saved; gives the number of tables."""
+    left = [p for p, s in _WRITTEN.items() if s.sparkContext is spark.sparkContext]
+    for path in left:
+        del _WRITTEN[path]
+        _delete(spark, path)
+    return len(left)
 
 
 def shuffle_width(spark: SparkSession) -> int:

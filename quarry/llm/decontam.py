@@ -1,117 +1,209 @@
-"""Benchmark decontamination by a distributed positional inverted index.
+"""Benchmark decontamination by a distributed, stored positional inverted index.
 
-The index is partitioned by document: each task keeps, for the documents it reads,
-the ascending positions of every term that occurs in the benchmark. A window of
-benchmark terms is looked up from its rarest list on: the positions, moved back by
-the term's place in the window, are intersected with the next rarest list and so
-on, which leaves the exact places of the phrase (slop 0) or places where every term
-is within `slop` words of its own place (proximity).
+build() stores the index of a table of documents in the shared folder. It is split by
+document: a row holds the postings of some documents, for every term the ascending
+positions at which it stands, as arrays packed by term. search() looks the windows of
+benchmark items up in every row: a window starts from the postings of its rarest term,
+moved back by the term's place; each further term, rarer ones first, keeps the starts at
+whose offset it stands. That leaves exact phrases (slop 0), or places where every term
+is within `slop` words of its own place (proximity), never across documents. The texts
+are read once, however many benchmarks are held against the index.
 
 The benchmark is the query set. It reaches the tasks in blocks of items of at most
-BLOCK_BYTES of text, one pass over the documents for each block; a single block is
-the usual case. No item, window or place is left out.
+BLOCK_BYTES of text, one pass over the index for each block; a single block is the usual
+case. Windows with a term that a row lacks are put aside at once, all of them by a few
+array operations. No item, window or place is left out.
 
 Defined cases: null or empty texts and texts without words have no words and no
-hits; empty benchmark: no hits; items that repeat an id count once in n_items; an
-item without words has no window; a null item id is written as "null"; rows with
-the same doc_id are judged separately.
+hits; empty documents: no rows; empty benchmark: no hits; items that repeat an id count
+once in n_items; an item without words has no window; a null item id is written as
+"null"; rows of a repeated or null doc_id are judged separately; a very long text is one
+row of the index; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import alnum_words, binary_column, clashless
+from quarry.llm.common import alnum_words, binary_column, text_key, word_hash, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-#: Documents are indexed together up to so many bytes of text.
-SHARD_BYTES = 24 << 20
+#: Text that is indexed in one row, and candidate starts that are held at once.
+SHARD_BYTES, CANDIDATES = 8 << 20, 1 << 21
+_ABSENT = 1 << 60
+_SPAN = "array<struct<s:bigint,e:bigint>>"
 
 
-def windows_of(items: list[tuple[str, bytes]], width: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], list[int]], list[str]]:
-    """The term ids (from 1), the items that hold each distinct window, and the item ids."""
-    terms: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], list[int]] = {}
-    names: dict[str, int] = {}
-    for name, text in items:
-        words = [terms.setdefault(w, len(terms) + 1) for w in alnum_words(text)]
-        number = names.setdefault(name, len(names))
-        for start in range(max(1, len(words) - width + 1) if words else 0):
-            held = windows.setdefault(tuple(words[start : start + width]), [])
-            if not held or held[-1] != number:
-                held.append(number)
-    return terms, windows, list(names)
-
-
-def lookup(window: tuple[int, ...], postings: np.ndarray, starts: np.ndarray, slop: int) -> np.ndarray:
-    """Starts of the window, from the rarest term's list on."""
-    size = starts[1:] - starts[:-1]
-    order = sorted(range(len(window)), key=lambda k: size[window[k]])
-    first = order[0]
-    if not size[window[first]]:
-        return postings[:0]
-    found = postings[starts[window[first]] : starts[window[first] + 1]] - first
-    for place in order[1:]:
-        held = postings[starts[window[place]] : starts[window[place] + 1]]
-        want = found + place
-        at = np.searchsorted(held, want - slop)
-        near = held[np.minimum(at, len(held) - 1)]
-        found = found[(near >= want - slop) & (near <= want + slop)]
-        if not len(found):
-            break
-    return found
+class Queries:
+    """The windows of a block of items: their terms in order of hash, and all words as numbers of these."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int):
+        self.width, self.names = width, list(dict.fromkeys(name for name, _ in items))
+        number, known = {n: k for k, n in enumerate(self.names)}, defaultdict()
+        known.default_factory = known.__len__
+        tokens, starts, of, at = [], [], [], 0
+        for name, text in items:
+            words = alnum_words(text)
+            if not words:
+                continue
+            # so many words that are none follow each item that its last window can be cut out
+            tokens.append(np.concatenate([np.fromiter(map(known.__getitem__, words), np.int32, len(words)), np.full(width, -1, np.int32)]))
+            count = max(1, len(words) - width + 1)
+            starts.append(at + np.arange(count))
+            of.append(np.full(count, number[name]))
+            at += len(words) + width
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.tokens, self.starts, self.item = join(tokens, np.int32), join(starts, np.int64), join(of, np.int64)
+        self.terms = list(known)
+        self.hashes = word_hash(self.terms)
 
 
 class Shard:
-    """The positional index of some documents, of benchmark terms only."""
+    """Postings of some documents: words in order of hash, where each one's postings begin, and the postings."""
 
-    def __init__(self, texts: list[bytes], terms: dict[bytes, int]):
-        ids, self.n_words, at = [], [], [0]
-        known = terms.get
+    def __init__(self, words: list[bytes], hashes: np.ndarray, starts: np.ndarray, postings: np.ndarray, n_words: np.ndarray):
+        self.words, self.hashes, self.starts, self.postings, self.n_words = words, hashes, starts, postings, n_words
+        self.at = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Shard:
+        known = defaultdict()
+        known.default_factory = known.__len__
+        parts, sizes = [], []
         for text in texts:
             words = alnum_words(text)
-            self.n_words.append(len(words))
-            ids.append(np.fromiter((known(w, 0) for w in words), np.int32, len(words)))
-            ids.append(np.zeros(WINDOW, np.int32))  # keeps matches, near ones too, within a document
-            at.append(at[-1] + len(words) + WINDOW)
-        self.at = np.array(at)
-        forward = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        places = np.flatnonzero(forward)
-        by_term = np.argsort(forward[places], kind="stable")
-        self.postings = places[by_term]
-        self.starts = np.searchsorted(forward[places][by_term], np.arange(len(terms) + 2))
-        self.total = len(forward)
-
-    def search(self, windows: dict[tuple[int, ...], list[int]], slop: int = 0) -> tuple[np.ndarray, set[tuple[int, int]]]:
-        """For each word place whether it is hit, and the pairs of document and item."""
-        edge = np.zeros(self.total + 1, np.int64)
-        pairs: set[tuple[int, int]] = set()
-        size = self.starts[1:] - self.starts[:-1]
-        for window, items in windows.items():
-            if not min(size[t] for t in window):
-                continue
-            found = lookup(window, self.postings, self.starts, slop)
-            if not len(found):
-                continue
-            where = np.searchsorted(self.at, found, side="right") - 1
-            if slop:  # a near match may begin before its document does
-                keep = (where >= 0) & (found >= 0)
-                found, where = found[keep], where[keep]
-            np.add.at(edge, found, 1)
-            np.add.at(edge, np.minimum(found + len(window), self.total), -1)
-            for doc in np.unique(where):
-                pairs.update((int(doc), i) for i in items)
-        return np.cumsum(edge[:-1]) > 0, pairs
+            parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            sizes.append(len(words))
+        names = list(known)
+        hashes = word_hash(names)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        flat = rank[np.concatenate(parts)] if len(names) else np.zeros(0, np.int64)
+        placed = np.sort((flat << 32) | np.arange(len(flat)))
+        starts = np.searchsorted(placed, np.arange(len(names) + 1) << 32)
+        return cls([names[k] for k in order], hashes[order], starts, (placed & 0xFFFFFFFF).astype(np.int32), np.array(sizes, np.int64))
+
+    def _terms(self, queries: Queries) -> np.ndarray:
+        """The number of each of the queries' terms here, or -1."""
+        out = np.full(len(queries.terms), -1)
+        if len(self.words):
+            at = np.searchsorted(self.hashes, queries.hashes)
+            for k in np.flatnonzero(self.hashes[np.minimum(at, len(self.words) - 1)] == queries.hashes):
+                place = at[k]  # words of one hash stand side by side
+                while place < len(self.words) and self.hashes[place] == queries.hashes[k]:
+                    if self.words[place] == queries.terms[k]:
+                        out[k] = place
+                    place += 1
+        return out
+
+    def search(self, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item, and first and last word (exclusive, in all of the shard's words) of every match."""
+        term, width, total = self._terms(queries), queries.width, int(self.at[-1]) + 1
+        size = np.where(term >= 0, self.starts[term + 1] - self.starts[term], 0) if len(self.words) else np.zeros(len(term), np.int64)
+        size = np.append(size, _ABSENT)  # of the number -1, what is no word
+        of_token = size[queries.tokens]
+        least = np.full(len(queries.starts), _ABSENT)
+        for k in range(width):
+            least = np.minimum(least, of_token[queries.starts + k])
+        live = np.flatnonzero(least > 0)
+        # the postings of the terms asked for, so that one sorted array answers whether a term stands at a place
+        used = np.flatnonzero(term >= 0)
+        rank = np.zeros(len(term) + 1, np.int64)
+        rank[used] = np.arange(len(used))
+        counts = size[used]
+        begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        source = np.repeat(self.starts[term[used]] - begin[:-1], counts) + np.arange(begin[-1])
+        keys = np.repeat(np.arange(len(used)) * total, counts) + self.postings[source]
+        found: list[tuple[np.ndarray, ...]] = []
+        work = np.cumsum(least[live] * (2 * slop + 1))
+        a = 0
+        while a < len(live):
+            b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + CANDIDATES, side="right")))
+            found.append(self._block(queries, live[a:b], size, rank, begin, keys, total, slop))
+            a = b
+        join = lambda k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
+        return join(0), join(1), join(2), join(3)
+
+    def _block(self, queries: Queries, chosen, size, rank, begin, keys, total: int, slop: int) -> tuple[np.ndarray, ...]:
+        windows = queries.tokens[queries.starts[chosen][:, None] + np.arange(queries.width)]
+        length = (windows >= 0).sum(axis=1)
+        order = np.argsort(size[windows], axis=1, kind="stable")
+        rows = np.arange(len(chosen))
+        first = windows[rows, order[:, 0]]
+        count = size[first]
+        who = np.repeat(rows, count)
+        inside = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        place = keys[begin[rank[first]][who] + inside] % total
+        doc = np.searchsorted(self.at, place, side="right") - 1
+        start = place - order[who, 0]
+        if slop:
+            shift = np.arange(-slop, slop + 1)
+            who, doc, start = np.repeat(who, len(shift)), np.repeat(doc, len(shift)), (start[:, None] + shift).reshape(-1)
+        for k in range(1, queries.width):
+            asked = k < length[who]
+            at = order[who, k]
+            term = rank[windows[who, at]] * total
+            low = np.maximum(self.at[doc], start + at - slop)
+            high = np.minimum(self.at[doc + 1] - 1, start + at + slop)
+            next_ = np.searchsorted(keys, term + low)
+            met = keys[np.minimum(next_, len(keys) - 1)]
+            stay = ~asked | ((next_ < len(keys)) & (low <= high) & (met >= term + low) & (met <= term + high))
+            who, doc, start = who[stay], doc[stay], start[stay]
+            if not len(who):
+                break
+        if slop:
+            who, doc, start = np.unique(np.stack([who, doc, start]), axis=1)
+        item = queries.item[chosen[who]]
+        begins, ends = self.at[doc], self.at[doc + 1]  # a near match may begin before its document, or end after it
+        return doc, item, np.clip(start, begins, ends), np.clip(start + length[who], begins, ends)
+
+
+def _covered(low: np.ndarray, high: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the words that any match covers."""
+    edge = np.zeros(total + 1, np.int64)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    hit = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(hit))
+    return edges[::2], edges[1::2]
+
+
+def build(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The index of all documents as a table in the shared folder, one row for up to SHARD_BYTES of text."""
+    kind = dict(docs.dtypes)[id_column]
+    rows = docs.select(F.col(id_column).alias("id"), text_key(text_column).alias("key"), F.col(text_column).alias("text"))
 
+    def index(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+        for batch in batches:
+            texts = binary_column(batch, "text")
+            cuts, held = [0], 0
+            for k, text in enumerate(texts):
+                if held and held + len(text) > SHARD_BYTES:
+                    cuts.append(k)
+                    held = 0
+                held += len(text)
+            for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+                if a == b:
+                    continue
+                shard = Shard.of(texts[a:b])
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x) for x in (batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(shard.n_words))]
+                blobs = [b" ".join(shard.words), shard.hashes.astype("<u8").tobytes(), shard.starts.astype("<i8").tobytes(), shard.postings.astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "ids", "keys", "n_words", "words", "hashes", "starts", "postings"])
+
+    schema = f"shard string, ids array<{kind}>, keys array<binary>, n_words array<bigint>, words binary, hashes binary, starts binary, postings binary"
+    # rows are large, so the writer is to look at its buffers after each of them
+    large = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)}
+    return written(rows.mapInArrow(index, schema), f"postings-{uuid.uuid4().hex}", **large)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str) -> list[list[tuple[str, bytes]]]:
@@ -123,60 +215,80 @@ def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str) -
     return [[(r["item"], r["text"].encode()) for r in (items if ways == 1 else items.where(pick == k)).toLocalIterator()] for k in range(ways)]
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """One row per document: id, n_words, hit spans of words (end exclusive) and the ids of items that occur.
+def _held_against(index: DataFrame, block: list[tuple[str, bytes]], window: int, slop: int, hits_only: bool) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast(Queries(block, window))
+    kind = dict(index.dtypes)["ids"][len("array<") : -1]
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        queries = shared.value
+        for batch in batches:
+            blobs = {c: batch.column(c) for c in ("words", "hashes", "starts", "postings")}
+            for k in range(batch.num_rows):
+                n_words = batch.column("n_words")[k].values.to_numpy()
+                read = lambda c, kind: np.frombuffer(blobs[c][k].as_py(), kind)
+                shard = Shard(blobs["words"][k].as_py().split(b" ") if len(read("hashes", "<u8")) else [], read("hashes", "<u8"), read("starts", "<i8"), read("postings", "<i4"), n_words)
+                doc, item, low, high = shard.search(queries, slop)
+                spans: list[list] = [[] for _ in n_words]
+                items: list[list[str]] = [[] for _ in n_words]
+                if len(doc):
+                    pairs = np.unique(doc * len(queries.names) + item)
+                    for pair in pairs.tolist():
+                        items[pair // len(queries.names)].append(queries.names[pair % len(queries.names)])
+                    edge = shard.at[1:-1]
+                    for s, e in zip(*_covered(low, high, int(shard.at[-1]))):
+                        # runs of neighbouring documents touch where these are hit to their edges
+                        cut = [s, *edge[np.searchsorted(edge, s, side="right") : np.searchsorted(edge, e)].tolist(), e]
+                        for x, y in zip(cut, cut[1:]):
+                            d = int(np.searchsorted(shard.at, x, side="right")) - 1
+                            spans[d].append({"s": int(x - shard.at[d]), "e": int(y - shard.at[d])})
+                keep = np.array([d for d in range(len(n_words)) if items[d] or not hits_only], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("shard")[k].as_py()] * len(keep), pa.string()), pa.array(keep.astype(np.int32)), batch.column("ids")[k].values.take(pa.array(keep)), batch.column("keys")[k].values.take(pa.array(keep)),
+                     pa.array(n_words[keep]), pa.array([spans[d] for d in keep], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array([items[d] for d in keep], pa.list_(pa.string()))],
+                    ["shard", "doc", "id", "key", "n_words", "spans", "items"],
+                )
+
+    return index.mapInArrow(scan, f"shard string, doc int, id {kind}, key binary, n_words bigint, spans {_SPAN}, items array<string>")
+
+
+def _merged(spans):
+    """Maximal runs of spans that may overlap, as a column."""
+    ordered = F.array_sort("spans")
+
+    def step(out, x):
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(out) > 0) & (x["s"] <= F.get(out, F.size(out) - 1)["e"]), longer).otherwise(F.concat(out, F.array(x)))
 
-    keep names columns that are passed on. slop over 0 asks for proximity matches (at most window words).
+    return F.aggregate(ordered, F.array().cast(_SPAN), step)
+
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per indexed document: id, key (of its text), n_words, hit spans of words (end exclusive) and the ids of items that occur.
+
+    slop over 0 asks for proximity matches: some start at which every term stands within slop words of its place.
     """
-    if not 0 <= slop <= WINDOW:
-        raise ValueError("slop is from 0 to the window's width")
-    spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    kept = list(dict.fromkeys([id_column, text_column, *keep]))
-    out = clashless(docs, *kept)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
-    for number, block in enumerate(benchmark_blocks(benchmark, item_column, item_text)):
-        shared = spark.sparkContext.broadcast(windows_of(block, window))
-
-        def scan(batches: Iterator, shared=shared, first=number == 0) -> Iterator:
-            import pyarrow as pa
-
-            terms, windows, names = shared.value
-            for batch in batches:
-                texts = binary_column(batch, text_column)
-                sizes, cuts, held = [len(t) for t in texts], [0], 0
-                for k, n in enumerate(sizes):
-                    if held and held + n > SHARD_BYTES:
-                        cuts.append(k)
-                        held = 0
-                    held += n
-                for a, b in zip(cuts, [*cuts[1:], len(texts)]):
-                    part = batch.slice(a, b - a)
-                    shard = Shard(texts[a:b], terms)
-                    hit, pairs = shard.search(windows, slop)
-                    items: list[list[str]] = [[] for _ in range(b - a)]
-                    for doc, item in pairs:
-                        items[doc].append(names[item])
-                    spans: list[list] = [[] for _ in range(b - a)]
-                    if not first:
-                        before = part.column("spans").to_pylist()
-                        items = [list({*new, *old}) for new, old in zip(items, part.column("items").to_pylist())]
-                    for doc in range(b - a):
-                        lo, n = shard.at[doc], shard.n_words[doc]
-                        own = hit[lo : lo + n]
-                        if not first and before[doc]:
-                            own = own.copy()
-                            for x in before[doc]:
-                                own[x["s"] : x["e"]] = True
-                        if own.any():
-                            spans[doc] = [{"s": s, "e": e} for s, e in _spans(own)]
-                    columns = [part.column(c) for c in kept]
-                    columns += [pa.array(shard.n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, [*kept, "n_words", "spans", "items"])
-
-        out = out.mapInArrow(scan, schema)
-    return out
+    if slop < 0 or window < 1:
+        raise ValueError("slop is 0 at least, a window 1")
+    first, *more = benchmark_blocks(benchmark, item_column, item_text)
+    out = _held_against(index, first, window, slop, hits_only=False)
+    if more:
+        hits = None
+        for block in more:
+            part = _held_against(index, block, window, slop, hits_only=True).select(F.col("shard").alias("of"), F.col("doc").alias("at"), F.col("spans").alias("new"), F.col("items").alias("met"))
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("of", "at").agg(F.flatten(F.collect_list("new")).alias("new"), F.flatten(F.collect_list("met")).alias("met"))
+        out = out.join(hits, (F.col("shard") == F.col("of")) & (F.col("doc") == F.col("at")), "left")
+        both = lambda a, b, kind: F.concat(a, F.coalesce(b, F.array().cast(kind)))
+        out = out.withColumn("spans", both("spans", "new", _SPAN)).withColumn("spans", _merged("spans")).withColumn("items", F.array_distinct(both("items", "met", "array<string>")))
+    return out.select("id", "key", "n_words", "spans", "items")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """search() over a new index of docs, with the id under its own name."""
+    return search(build(docs, id_column, text_column), benchmark, window, slop, item_column, item_text).withColumnRenamed("id", id_column)
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -192,8 +304,8 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The contract's rows by comparing every window of every document; for small inputs."""
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW, slop: int = 0) -> list[tuple]:
+    """The contract's rows by trying every start of every document; for small inputs."""
     wanted: dict[tuple[bytes, ...], set[str]] = {}
     for name, text in items:
         words = alnum_words((text or "").encode())
@@ -203,10 +315,11 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, st
     for doc_id, text in docs:
         words = alnum_words((text or "").encode())
         hit, found = [False] * len(words), set()
-        for width in {len(w) for w in wanted}:
-            for k in range(len(words) - width + 1):
-                if names := wanted.get(tuple(words[k : k + width])):
+        for terms, names in wanted.items():
+            for k in range(-slop, len(words) + slop):
+                if all(t in words[max(0, k + j - slop) : max(0, k + j + slop + 1)] for j, t in enumerate(terms)):
                     found |= names
-                    hit[k : k + width] = [True] * width
+                    for j in range(max(0, k), min(k + len(terms), len(words))):
+                        hit[j] = True
         out.append((doc_id, len(words), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
     return out

@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm.common import binary_column, clashless, crc_mod
 
@@ -67,7 +68,6 @@ def statistics(text: bytes) -> tuple[float, ...]:
 
 def with_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, kept columns and the statistics s_<name> of every document."""
-    kinds = dict(docs.dtypes)
     kept = list(dict.fromkeys([id_column, *keep]))
     names = [f"s_{x}" for x in STATISTICS]
 
@@ -78,7 +78,7 @@ def with_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
             rows = np.array([statistics(t) for t in binary_column(batch, text_column)], dtype=np.float64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(rows[:, k]) for k in range(len(names)))], [*kept, *names])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} double" for c in names)])
+    schema = StructType([*(docs.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in names)])
     return clashless(docs, *dict.fromkeys([*kept, text_column])).mapInArrow(scan, schema)
 
 
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     names = [f"s_{c}" for c in STATISTICS]
     sample = with_statistics(labelled_sample(docs, labels, label, folds, held_fold, most), keep=("y",))
     # repeated ids can make more rows than there are labels, so the bound holds here, too
-    frame = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *names).limit(most).toPandas()
+    frame = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *names).limit(most).toPandas().sort_values("doc_id", kind="stable")
     return fit(frame[names].to_numpy(float), frame["y"].to_numpy(float))
 
 

@@ -174,12 +174,47 @@ def test_contamination_in_blocks(spark, monkeypatch):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=6), st.lists(st.lists(st.sampled_from("abc"), max_size=8), max_size=4))
 def test_index_by_brute_force(docs, items):
     docs, items = [" ".join(d) for d in docs], [(str(k), " ".join(i)) for k, i in enumerate(items)]
-    terms, windows, names = decontam.windows_of([(n, t.encode()) for n, t in items], 4)
-    shard = decontam.Shard([d.encode() for d in docs], terms)
-    hit, pairs = shard.search(windows)
-    want = decontam.brute_force(list(enumerate(docs)), items, 4)
-    assert [int(hit[shard.at[k] : shard.at[k] + shard.n_words[k]].sum()) for k in range(len(docs))] == [w[2] for w in want]
-    assert [len({names[i] for d, i in pairs if d == k}) for k in range(len(docs))] == [w[3] for w in want]
+    shard, queries = decontam.Shard.of([d.encode() for d in docs]), decontam.Queries([(n, t.encode()) for n, t in items], 4)
+    for slop in (0, 1, 3):
+        doc, item, low, high = shard.search(queries, slop)
+        words = {(int(d), w) for d, a, b in zip(doc, low, high) for w in range(a, b)}
+        want = decontam.brute_force(list(enumerate(docs)), items, 4, slop)
+        assert [sum(d == k for d, _ in words) for k in range(len(docs))] == [w[2] for w in want]
+        assert [len(set(item[doc == k].tolist())) for k in range(len(docs))] == [w[3] for w in want]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "word_hash", lambda words: decontam.np.array([len(w) for w in words], decontam.np.uint64))
+    shard, queries = decontam.Shard.of([b"a b c", b"d e f a"]), decontam.Queries([("1", b"e f"), ("2", b"a b"), ("3", b"b d")], 4)
+    doc, item, low, high = shard.search(queries)
+    assert sorted(zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist())) == [(0, 1, 0, 2), (1, 0, 4, 6)]
+
+
+def test_a_stored_index_serves_many_benchmarks(spark):
+    """The index is read, not the texts; near matches stay within documents, whatever the slop."""
+    texts = ["a b c d e f", "g h i j", None, "a c b x d", "d c b a"]
+    index = decontam.build(documents(spark, texts))
+    index = spark.read.parquet(index._quarry_path)
+    for items in ([(1, "a b c d e f g h i j")], [(2, "a b c d")], []):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        for slop in (0, 1, 2, 5, 12):
+            rows = decontam.digest(decontam.search(index, bench, slop=slop).withColumnRenamed("id", "doc_id")).collect()
+            assert sorted(tuple(r) for r in rows) == sorted(decontam.brute_force(list(enumerate(texts)), items, slop=slop))
+
+
+def test_windows_that_do_not_occur_cost_little():
+    import time
+
+    rng = decontam.np.random.default_rng(4)
+    words = [f"w{k}" for k in range(3000)]
+    shard = decontam.Shard.of([" ".join(rng.choice(words, 200)).encode() for _ in range(1000)])
+    took = []
+    for n in (2000, 40_000):
+        queries = decontam.Queries([(str(k), " ".join([*rng.choice(words, 9), f"not{k}", *rng.choice(words, 9)]).encode()) for k in range(n)], 10)
+        began = time.process_time()
+        assert not len(shard.search(queries)[0])
+        took.append(time.process_time() - began)
+    assert took[1] < 1.5
 
 
 def test_proximity(spark):
