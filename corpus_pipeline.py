@@ -13,14 +13,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import bpe, decontam, rules, secrets, simhash
-from quarry.llm.common import table, written
+from quarry.llm.common import discard, table, text_key, written
 from quarry.llm.queries import VOCABULARY
 
 
+#: Bytes of text keys up to which these are sent to every task.
+BROADCAST_BYTES = 8 << 20
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """The documents' columns as one, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def _given(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
     found = rules.train(docs, table(spark, sf_dir, "labels"))
-    return rules.score_documents(docs, found, keep=tuple(docs.columns)).where(F.col("score") >= 0.5).select(*docs.columns)
+    mine = _own(docs).select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    return _given(rules.score_documents(mine, found, keep=("_row",)).where(F.col("score") >= 0.5), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,29 +43,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text: several texts of one id, or of none, are judged
     separately. Null ids come last, and of one id the smallest text key stays.
     """
-    kept = simhash.representatives(docs).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
-    keyed = docs.withColumn("text_key", simhash.text_key())
-    stay = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    kept = simhash.representatives(docs).select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
+    mine = _own(docs).withColumns({"_id": F.col("_row.doc_id"), "_key": text_key("_row.text")})
+    stay = mine.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    return _given(stay.dropDuplicates(["_id", "_key"]), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    index = decontam.build(docs)
+    found = decontam.search(index, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0)
+    # texts decide, so rows are told by their texts; 16 bytes each
+    hits = written(found.select(F.col("key").alias("_of_key")).distinct(), f"hits-{uuid.uuid4().hex}")
+    discard(index)
+    n = hits.count()
+    held = F.broadcast(hits) if n * 64 <= BROADCAST_BYTES else hits
+    mine = _own(docs)
+    return _given(mine.join(held, text_key("_row.text") == F.col("_of_key"), "left_anti"), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Base secrets, and added candidates that look live, give way to a mark; n_chars follows the text."""
     # spans follow from the text and the corpus, so they are looked up by text: ids may repeat or be null
-    keyed = docs.withColumn("text_key", simhash.text_key())
-    found = secrets.scan(keyed, id_column="text_key").select(F.col("text_key").alias("of_key"), F.concat("base", "live").alias("spans")).where(F.size("spans") > 0)
-    joined = keyed.join(found.dropDuplicates(["of_key"]), F.col("text_key") == F.col("of_key"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
-    out = joined.withColumn("text", text)
+    mine = _own(docs).withColumns({"_key": text_key("_row.text")})
+    asked = mine.select(F.col("_key"), F.col("_row.doc_id").alias("repository"), _column(docs, "source").alias("owner"), F.col("_row.text").alias("text"))
+    found = secrets.scan(asked, "owner", "repository", "_key").select(F.col("_key").alias("_of_key"), F.concat("base", "live").alias("_spans")).where(F.size("_spans") > 0)
+    joined = mine.join(found.dropDuplicates(["_of_key"]), F.col("_key") == F.col("_of_key"), "left")
+    text, clean = F.col("_row.text"), F.col("_spans").isNull()
+    masked = F.when(clean, text).otherwise(secrets.redacted(text, F.col("_spans")))
+    joined = joined.select(F.col("_row").withField("text", masked).alias("_row"), clean.alias("_clean"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*docs.columns)
+        joined = joined.withColumn("_row", F.col("_row").withField("n_chars", F.when(F.col("_clean"), F.col("_row.n_chars")).otherwise(F.length("_row.text").cast("bigint"))))
+    return _given(joined, docs)
+
+
+def _column(docs: DataFrame, name: str):
+    return F.col(f"_row.{name}") if name in docs.columns else F.lit(None).cast("string")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +102,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}-{uuid.uuid4().hex}")
+            if before is not None:  # what the stage read is written anew
+                discard(before)
+            before = docs
     return docs

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import binary_column, checkpointed, clashless, shuffle_width, spaced_words
+from quarry.llm.common import binary_column, checkpointed, clashless, shuffle_width, spaced_words, text_key
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -347,11 +347,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WIDE_WORDS, LEAST_SHINGLES, SLACK = 8, 8, 0.3
 
 
-def text_key(text_column: str = "text"):
-    """128 bits of the text; with the id, what tells rows apart. Null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))
-
-
 def wide_print(distinct: np.ndarray) -> bytes:
     """WIDE_WORDS words of majorities, over remixed hashes of a set: repeats don't count."""
     return b"".join(int(majority(_remixed(distinct, k))).to_bytes(8, "little") for k in range(WIDE_WORDS))

@@ -193,3 +193,25 @@ def test_quality_of_repeated_ids_and_empty_tables(spark, corpus, monkeypatch):
     for found in (rules.train(none, labels.limit(0)), a):
         assert rules.score_documents(none, found).count() == 0
     assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
+
+
+def test_pipeline_with_columns_of_any_name(spark, tmp_path):
+    """A stage keeps the columns it is given, whatever they are called, and their values."""
+    names = ["spans", "score", "kept_id", "n_words", "items", "of_id", "s_n_bytes", "text_key", "key", "base", "live", "hashes", "fp", "node", "y", "_key", "_spans", "id", "a.b", "owner", "repository"]
+    texts = [prose(60) for _ in range(12)] + [f'{prose(30)} password="ABCDEFGH12345678" {prose(30)}']
+    texts += [texts[0], f"{prose(30)} {texts[1]}", None, ""]
+    docs = spark.createDataFrame([(k, t, "src", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, read, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}.parquet")
+        read = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+    rows = read.collect()
+    assert {r["doc_id"] for r in rows} == {0, *range(2, 13), 15}
+    assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
+    assert [r["text"].count("[SECRET]") for r in rows if r["doc_id"] == 12] == [1]
