@@ -74,6 +74,8 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="quarry-shared-")
 
 
+#: Writer options for tables of large rows: their buffers are looked at after each row.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)}
 #: Tables that this process has written and not given up yet, by path.
 _WRITTEN: dict[str, SparkSession] = {}
 

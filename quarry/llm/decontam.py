@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import alnum_words, binary_column, text_key, word_hash, written
+from quarry.llm.common import LARGE_ROWS, alnum_words, binary_column, text_key, word_hash, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -201,9 +201,7 @@ def build(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "ids", "keys", "n_words", "words", "hashes", "starts", "postings"])
 
     schema = f"shard string, ids array<{kind}>, keys array<binary>, n_words array<bigint>, words binary, hashes binary, starts binary, postings binary"
-    # rows are large, so the writer is to look at its buffers after each of them
-    large = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)}
-    return written(rows.mapInArrow(index, schema), f"postings-{uuid.uuid4().hex}", **large)
+    return written(rows.mapInArrow(index, schema), f"postings-{uuid.uuid4().hex}", **LARGE_ROWS)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str) -> list[list[tuple[str, bytes]]]:

@@ -251,7 +251,93 @@ def test_outputs_are_a_distribution():
         assert np.exp(gru_lm.log_outputs(w, np.repeat(one[None], len(every), axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_gradient_of_the_network():
+def plain_steps(w, inputs, begins):
+    """States after each input of one stream, one unit at a time; begins: where the state is zero."""
+    n, h, out = gru_lm.HIDDEN, np.zeros(gru_lm.HIDDEN), []
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+    for x, new in zip(inputs, begins):
+        h = np.zeros(n) if new else h
+        gx, gh = w["wx"][x] + w["b"], h @ w["u"]
+        r, z = sigma(gx[:n] + gh[:n]), sigma(gx[n : 2 * n] + gh[n : 2 * n])
+        h = (1 - z) * np.tanh(gx[2 * n :] + r * gh[2 * n :]) + z * h
+        out.append(h)
+    return out
+
+
+def plain_log(w, h, target):
+    """Natural log of the class' probability, times the word's within it for head words."""
+    per, soft = gru_lm.HEAD // gru_lm.HEAD_CLASSES, lambda x: x - np.log(np.exp(x).sum())
+    own = target // per if target < gru_lm.HEAD else gru_lm.HEAD_CLASSES + target - gru_lm.HEAD
+    out = soft(h @ w["wc"] + w["bc"])[own]
+    return out + (soft(h @ w["ww"][own] + w["bw"][own])[target % per] if target < gru_lm.HEAD else 0)
+
+
+def some_weights(seed=0):
+    stats = gru_lm.Statistics(1000, 50, np.arange(1, 21, dtype=np.uint64), np.arange(20, 0, -1), np.full(gru_lm.TAILS, 20.0), np.full(gru_lm.TAILS, 5.0), np.full(gru_lm.TAILS, 2.0))
+    rng = np.random.default_rng(seed)
+    return {k: (v + 0.4 * rng.normal(size=v.shape)).astype(np.float32) for k, v in gru_lm.start_weights(stats).items()}
+
+
+def test_gradient_by_differences():
+    """Every kind of weight: the gradient of a window is that of the loss written out plainly."""
+    w, rng, begin = some_weights(), np.random.default_rng(1), gru_lm.HEAD + gru_lm.TAILS
+    steps, streams = 6, 3
+    targets = rng.choice([0, 1, 5, 40, 70, gru_lm.HEAD + 3, gru_lm.HEAD + 9], (steps, streams))
+    inputs = np.concatenate([np.full((1, streams), begin), targets[:-1]])
+    fresh = inputs == 1
+    fresh[0] = True
+    inputs = np.where(fresh, begin, inputs)
+    grad = gru_lm.views(np.ones(sum(v.size for v in w.values()), np.float32))
+    gru_lm.gradient(w, grad, inputs, targets, fresh, np.full((streams, gru_lm.HIDDEN), 7, np.float32))
+
+    def loss(own):
+        return -np.mean([plain_log(own, h, t) for k in range(streams) for h, t in zip(plain_steps(own, inputs[:, k], fresh[:, k]), targets[:, k])])
+
+    wide = {k: v.astype(float) for k, v in w.items()}
+    for name, value in wide.items():
+        flat, known = value.reshape(-1), grad[name].reshape(-1)
+        places = {int(np.abs(known).argmax()), *rng.choice(np.flatnonzero(known), 4).tolist(), *rng.integers(0, len(flat), 4).tolist()}
+        for k in places:
+            old = flat[k]
+            flat[k] = old + 1e-5
+            up = loss(wide)
+            flat[k] = old - 1e-5
+            down = loss(wide)
+            flat[k] = old
+            assert known[k] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=2e-6), (name, k)
+
+
+def test_score_by_brute_force(spark, monkeypatch):
+    """The score is the sum over tokens of what the formulas give, one token at a time."""
+    w, seen = some_weights(5), []
+    monkeypatch.setattr(gru_lm, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(gru_lm, "train", lambda chunks, stats: seen.append(stats) or w)
+    texts = [t for t in LM_TEXTS if t != "w " * 3000] + ["never seen", " ".join(f"z{k % 7}x" for k in range(60))] + [f"only{k} once" for k in range(1600)]
+    rows = {r["doc_id"]: r["score"] for r in gru_lm.score_documents(documents(spark, texts)).collect()}
+    (stats,) = seen
+    import zlib
+    from collections import Counter
+
+    split = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    count = Counter(x for k, words in enumerate(split) if zlib.crc32(str(k).encode()) % 7 != 2 for x in words)
+    numbers = {x: (int(stats.place(gru_lm.word_hash([x]))[0]), zlib.crc32(x[-3:]) % gru_lm.TAILS) for words in split for x in words}
+    assert len(stats.head) == gru_lm.HEAD and any(h < 0 for h, _ in numbers.values())
+    wide = {k: v.astype(float) for k, v in w.items()}
+    for k, words in enumerate(split):
+        if k > 60 and k % 100:
+            continue
+        tokens = [h if h >= 0 else gru_lm.HEAD + tail for h, tail in map(numbers.get, words)]
+        states = plain_steps(wide, [gru_lm.HEAD + gru_lm.TAILS, *tokens[:-1]], [True] + [False] * len(tokens[:-1]))
+        want = sum(plain_log(wide, h, t) for h, t in zip(states, tokens)) / np.log(10)
+        for word, (head, tail) in zip(words, map(numbers.get, words)):
+            if head < 0:
+                rest = [(x, n) for x, n in count.items() if numbers[x][0] < 0 and numbers[x][1] == tail]
+                new = (sum(n == 1 for _, n in rest) + 0.5) / (sum(n for _, n in rest) + 1)
+                want += np.log10((1 - new) * (count[word] + 1) / (sum(n for _, n in rest) + len(rest)) if count[word] else new / max(len(rest), 1))
+        assert rows[k] == pytest.approx(want, rel=1e-4), k
+
+
+def test_training_lowers_the_loss():
     """The training step lowers the loss of a sequence that it has seen."""
     stats = gru_lm.Statistics(1000, 50, np.arange(1, 21, dtype=np.uint64), np.arange(20, 0, -1), np.full(gru_lm.TAILS, 20.0), np.full(gru_lm.TAILS, 5.0), np.full(gru_lm.TAILS, 2.0))
     tokens = np.array([1, 2, 3, 4, 0] * 8000)
