@@ -27,13 +27,32 @@ def usable(instances: DataFrame, local: bool = False) -> DataFrame:
 
 
 def single(features: Column, duplicates: str = "last") -> Column:
-    """Features with each id once: the last value of an id holds ("last"; a zero takes it away) or values add up ("sum")."""
+    """Features with each id once: the last value of an id holds ("last"; a zero takes it away) or values add up ("sum").
+
+    Features are sorted by id once, so that work is near linear in their number.
+    """
+    sort = F.array_sort(F.transform(features, lambda x, k: F.struct(x["id"].alias("id"), k.alias("k"), x["value"].alias("value"))))
+
+    def once(column: Column, step) -> Column:  # a lambda's argument is computed once
+        return F.get(F.transform(F.array(column), step), F.lit(0))
+
     if duplicates == "sum":
-        ids = F.array_distinct(F.transform(features, lambda x: x["id"]))
-        value = lambda i: F.aggregate(F.filter(features, lambda x: x["id"] == i), F.lit(0.0), lambda s, x: s + x["value"])
-        return F.transform(ids, lambda i: F.struct(i.alias("id"), value(i).alias("value")))
-    last = F.filter(features, lambda x, k: ~F.exists(F.slice(features, k + 2, F.size(features)), lambda y: y["id"] == x["id"]))
-    return F.transform(F.filter(last, lambda x: x["value"] != 0), lambda x: F.struct(x["id"].alias("id"), x["value"].alias("value")))
+
+        def groups(x: Column) -> Column:
+            begin = F.filter(F.transform(x, lambda y, k: F.when((k == 0) | (y["id"] != F.get(x, k - 1)["id"]), k)), lambda k: k.isNotNull())
+            return F.struct(x.alias("x"), F.concat(begin, F.array(F.size(x))).alias("begin"))
+
+        def sums(g: Column) -> Column:
+            return F.transform(F.slice(g["begin"], 1, F.size(g["begin"]) - 1), lambda k, i: F.struct(
+                F.get(g["x"], k)["k"].alias("k"), F.get(g["x"], k)["id"].alias("id"),
+                F.aggregate(F.slice(g["x"], k + 1, F.get(g["begin"], i + 1) - k), F.lit(0.0), lambda s, y: s + y["value"]).alias("value"),
+            ))
+
+        kept = once(once(sort, groups), sums)
+    else:
+        last = once(sort, lambda x: F.filter(x, lambda y, k: (k == F.size(x) - 1) | (y["id"] != F.get(x, k + 1)["id"])))
+        kept = F.transform(F.filter(last, lambda x: x["value"] != 0), lambda x: F.struct(x["k"].alias("k"), x["id"].alias("id"), x["value"].alias("value")))
+    return F.transform(F.array_sort(kept), lambda x: F.struct(x["id"].alias("id"), x["value"].alias("value")))
 
 
 def scored(instances: DataFrame, weights: DataFrame, row: str = "row") -> DataFrame:

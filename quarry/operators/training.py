@@ -147,6 +147,15 @@ class Learner:
         if self.iteration > self.options.max_iterations:
             self.reason = ENOUGH_STEPS
             return
+        self._ahead(value)
+
+    def go_on(self, value: float) -> None:
+        """After a run that had enough iterations: goes on where the options now allow more. value: the last one accepted."""
+        if self.reason == ENOUGH_STEPS and self.iteration <= self.options.max_iterations:
+            self.reason = None
+            self._ahead(value)
+
+    def _ahead(self, value: float) -> None:
         if self._aim(value):
             self.step, self.backoff = 1.0, 0.5
             self.new_x = next_point(self.x, self.direction, self.step, self.options.l1)
@@ -271,6 +280,7 @@ def train(instances: DataFrame, options: Options | None = None, state_path: str
             learner.options = options
             if not np.array_equal(ids_then, ids):
                 raise ValueError("the saved state is of other features")
+            learner.go_on(values[-1])
         while learner.reason is None:
             loss, grad = evaluate(learner.new_x)
             value = OFFSET + loss + options.l1 * float(np.abs(learner.new_x).sum())

@@ -90,15 +90,20 @@ class IncrementalReducer(Reducer):
 
 
 class BatchReducer(Reducer):
-    def reduce(self, key, values: Iterator) -> None:
-        """May leave values unread; the rest of the key is then skipped."""
+    def reduce(self, key, values: Iterator) -> Iterator | None:
+        """May leave values unread; the rest of the key is then skipped.
+
+        A generator is run to its end; at each yield, what was emitted may be handed over, so
+        that a key's output is never held whole.
+        """
         raise NotImplementedError
 
 
 class IdentityReducer(BatchReducer):
-    def reduce(self, key, values: Iterator) -> None:
+    def reduce(self, key, values: Iterator) -> Iterator:
         for value in values:
             self.context.output(key, value)
+            yield
 
 
 class _Sum(IncrementalReducer):
@@ -122,6 +127,19 @@ class SumDouble(_Sum):
     kind = float
 
 
+class SumFloat(_Sum):
+    """Sums in single precision, value by value."""
+
+    @staticmethod
+    def kind(value):
+        import numpy as np
+
+        return np.float32(value)
+
+    def end(self, key, state) -> None:
+        self.context.output(key, str(state))
+
+
 REGISTRY: dict[str, type] = {}
 
 
@@ -142,5 +160,5 @@ def create(name: str, context: Context, default: type | None = None):
     return kind(context) if kind else None
 
 
-for _kind in (IdentityMapper, IdentityReducer, SumInteger, SumDouble):
+for _kind in (IdentityMapper, IdentityReducer, SumInteger, SumFloat, SumDouble):
     register(_kind.__name__, _kind)

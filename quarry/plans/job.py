@@ -100,18 +100,29 @@ class Job:
                     out = [(k, v, worker.shard(k, shards) if s is None else s) for k, v, s in out]
                 return pd.DataFrame(out, columns=["key", "value", "shard"]).astype({"shard": "Int32"})
 
-            held = [b for b in batches] if n > 1 else None  # a pass needs the partition again
-            for number in range(n):
-                context.current_pass = number
-                worker.start()
-                for frame in held if held is not None else batches:
-                    for key, value in zip(frame["key"], frame["value"]):
+            def turn(number: int):
+                """Ends passes and begins the next ones, until the given one has begun."""
+                while context.current_pass < number:
+                    worker.flush()
+                    yield emitted()
+                    context.current_pass += 1
+                    if context.current_pass < n:
+                        worker.start()
+
+            context.current_pass = 0
+            worker.start()
+            for frame in batches:
+                for number, part in frame.groupby("pass") if n > 1 else [(0, frame)]:
+                    yield from turn(number)
+                    for key, value in zip(part["key"], part["value"]):
                         worker.map(key, value)
                     yield emitted()
-                worker.flush()
-                yield emitted()
+            yield from turn(n)
 
-        return rows.select("key", "value").mapInPandas(run, f"key {self.key_type}, value {self.value_type}, shard int")
+        rows = rows.select("key", "value")
+        if n > 1:  # each partition's rows once for each pass, in order of passes; Spark's sort spills
+            rows = passes(rows, n).sortWithinPartitions("pass")
+        return rows.mapInPandas(run, f"key {self.key_type}, value {self.value_type}, shard int")
 
     def run(self) -> DataFrame:
         """key and value, and shard unless map-only."""
@@ -167,7 +178,9 @@ class Job:
 
                 group = values()
                 if batch:
-                    worker.reduce(key, group)
+                    for _ in worker.reduce(key, group) or ():
+                        if len(worker.context.emitted) >= 10_000:
+                            yield emitted(worker)
                     for _ in group:  # what the reducer left
                         pass
                 else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions.hashes import js_hash
 from quarry.functions.strings import split_using
-from quarry.operators.workers import BatchReducer, IdentityMapper, IdentityReducer, IncrementalReducer, Mapper, SumInteger
+from quarry.operators.workers import REGISTRY, BatchReducer, IdentityMapper, IdentityReducer, Mapper, SumInteger
 from quarry.plans.job import Job, to_all_shards, to_shard
 from quarry.queries.common import read
 from quarry.sources.instances import labelled, valid
@@ -76,18 +76,14 @@ def reduce_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Job(pairs, reducer=IdentityReducer, shards=4).run().select("key", "value")
 
 
-class _Spread(IncrementalReducer):
-    """Least, largest and number of a key's values."""
+class _Spread(BatchReducer):
+    """Least, largest and number of a key's values, by walking over them."""
 
-    def begin(self, key, value):
-        return [float(value), float(value), 1]
-
-    def partial(self, key, value, state):
-        v = float(value)
-        return [min(state[0], v), max(state[1], v), state[2] + 1]
-
-    def end(self, key, state) -> None:
-        self.context.output(key, f"{state[0]!r},{state[1]!r},{state[2]}")
+    def reduce(self, key, values) -> None:
+        low, high, n = float("inf"), float("-inf"), 0
+        for value in map(float, values):
+            low, high, n = min(low, value), max(high, value), n + 1
+        self.context.output(key, f"{low!r},{high!r},{n}")
 
 
 def batch_reduce_first_last_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +111,49 @@ def multipass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.run().select("key", "n", "total")
 
 
+class _EachPass(Mapper):
+    """Emits a key with the pass's number, and how many rows a pass has shown."""
+
+    def start(self) -> None:
+        self.seen = 0
+
+    def map(self, key, value) -> None:
+        self.seen += 1
+        self.context.output(f"{key}/{self.context.current_pass}", value)
+
+    def flush(self) -> None:
+        self.context.output(f"rows/{self.context.current_pass}", str(self.seen))
+
+
+def multipass_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a mapper class, which lives through the passes."""
+    pairs = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_nationkey").cast("string").alias("value"))
+    return Job(pairs, _EachPass, SumInteger, shards=4, passes=3).run().select("key", F.col("value").cast("bigint").alias("total"))
+
+
+def sum_float_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of halves by the registered class of single-precision sums."""
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("key"), (F.col("l_linenumber") * F.lit(0.5)).cast("string").alias("value"))
+    return Job(pairs, reducer=REGISTRY["SumFloat"], shards=3).run().select("key", F.col("value").cast("double").alias("total"))
+
+
+def sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's place in its shard, as the rows come out of a sorted job."""
+    pairs = read(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.lit("1").alias("value"))
+    job = Job(pairs, reducer={"n": F.count(F.lit(1))}, shards=5, partitioner=lambda key, n: F.pmod(F.length(key) + F.substring(key, -3, 3).cast("int"), F.lit(n)).cast("int"))
+    rows = job.sorted().withColumn("at", F.monotonically_increasing_id())
+    first = rows.groupBy("shard").agg(F.min("at").alias("first"))
+    return rows.join(first, "shard").select("shard", "key", (F.col("at") - F.col("first") + 1).alias("place"))
+
+
+def job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job's counters say after it has run."""
+    pairs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), F.lit("1").alias("value"))
+    job = Job(pairs, lambda df: to_all_shards(df, 2), {"n": F.count(F.lit(1))}, shards=2)
+    job.run().write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(sorted(job.counts().items()), "counter string, n bigint")
+
+
 def emit_all_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.lit("1").alias("value"))
     return Job(pairs, lambda df: to_all_shards(df, 4), {"n": F.count(F.lit(1))}, shards=4).run()
@@ -168,6 +207,7 @@ QUERIES = {
         wordcount, wordcount_combiner, map_identity, map_only_project, sum_int_by_key, sum_float_by_key, sum_double_by_key,
         sum_by_python_reducer, reduce_identity, batch_reduce_first_last_count, skip_rest_of_group, multipass, emit_all_shards,
         emit_to_shard, shard_histogram, custom_partitioner, single_key_funnel, labelled_filter, invalid_filter,
+        multipass_mapper, sum_float_reducer, sorted_shards, job_counters,
     )
 }
 ORACLES = {
@@ -183,6 +223,10 @@ ORACLES = {
     "batch_reduce_first_last_count": "SELECT o_custkey AS key, min(o_totalprice) AS first, max(o_totalprice) AS last, count(*) AS n FROM orders GROUP BY o_custkey",
     "skip_rest_of_group": "SELECT DISTINCT l_shipdate::DATE::VARCHAR AS key, 'seen' AS value FROM lineitem",
     "multipass": "SELECT c_mktsegment || '/' || p AS key, count(*) AS n, sum(c_nationkey)::BIGINT AS total FROM customer, range(3) t(p) GROUP BY 1",
+    "multipass_mapper": "SELECT c_mktsegment || '/' || p AS key, sum(c_nationkey)::BIGINT AS total FROM customer, range(3) t(p) GROUP BY 1 UNION ALL SELECT 'rows/' || p, count(*) FROM customer, range(3) t(p) GROUP BY 1",
+    "sum_float_reducer": "SELECT l_returnflag AS key, sum(l_linenumber * 0.5)::DOUBLE AS total FROM lineitem GROUP BY l_returnflag",
+    "sorted_shards": "SELECT shard, c_name AS key, row_number() OVER (PARTITION BY shard ORDER BY c_name) AS place FROM (SELECT DISTINCT c_name, ((length(c_name) + right(c_name, 3)::INTEGER) % 5)::INTEGER AS shard FROM customer)",
+    "job_counters": "SELECT 'map_input' AS counter, count(*) AS n FROM orders UNION ALL SELECT 'map_output', 2 * count(*) FROM orders UNION ALL SELECT 'reduce_output', 2 * count(DISTINCT o_orderpriority) FROM orders",
     "emit_all_shards": "SELECT s::INTEGER AS shard, n_name AS key, count(*) AS n FROM nation, range(4) t(s) GROUP BY 1, 2",
     "emit_to_shard": "SELECT (o_custkey % 3)::INTEGER AS shard, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1, 2",
     "shard_histogram": f"SELECT {_JS} % 7 AS shard, count(*) AS n FROM customer GROUP BY 1",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.operators import features, objective, training, vectors
 from quarry.plans.job import Job
 from quarry.queries.common import ORDER_SQL, order_instances, read
+from quarry.session import shared_folder
 from quarry.sources import instances as instance_source
 
 L1 = 0.5
@@ -109,14 +110,26 @@ def fix_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def improvement_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean relative improvement at every step of a falling sequence; infinite for the first six."""
-    from pyspark.sql import Window
+    # one value a step, as an optimiser's run gives them
+    steps = read(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()
+    seen = training.Improvement()
+    return spark.createDataFrame([(r[0], round(seen.add(1000.0 / (r[0] + 1)), 9)) for r in steps], "step int, improvement double")
 
-    steps = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("step"), (1000.0 / (F.col("n_nationkey") + 1)).alias("v"))
-    order = Window.orderBy("step")  # a row a step
-    known = F.row_number().over(order) - 1
-    oldest = F.first("v").over(order.rowsBetween(-10, -1))
-    better = (oldest - F.col("v")) / F.when(known >= 10, 9).otherwise(known) / F.abs("v")
-    return steps.select("step", F.round(F.when(known > 5, better).otherwise(F.lit(float("inf"))), 9).alias("improvement"))
+
+def hybrid_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse vector with entries past the end, with every dense one."""
+    entry = lambda i, v: F.struct(F.lit(i).alias("id"), F.lit(v).alias("value"))
+    sparse = F.array(entry(0, 1.0), entry(5, 2.0), entry(63, -0.5), entry(500, 9.0))
+    whole = F.transform("embedding", lambda x: F.floor(x * 64).cast("double"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", vectors.hybrid_dot(sparse, whole).alias("dot"))
+
+
+def vector_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element read, asked for and changed in sparse vectors of ten parts each."""
+    rows = _vector(spark, sf_dir, 2).withColumn("k", F.floor((F.col("id") - 1) / 20).cast("int"))
+    whole, asked = vectors.collect(rows, "k"), (F.col("k") * 20 + 3 + F.col("k") % 2).cast("int")
+    put = vectors.put(F.col("vector"), asked, F.when(F.col("k") % 3 == 0, 0.0).otherwise(7.5))
+    return whole.select("k", vectors.at(F.col("vector"), asked).alias("value"), vectors.has(F.col("vector"), asked).alias("there"), F.size(put).alias("n"), vectors.at(put, asked).alias("now"))
 
 
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,31 +154,28 @@ def model_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordio_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances written as binary messages in records, read and decoded again."""
+    """Instances written as binary messages in records, read by the data source and decoded again."""
     from quarry.sources import recordio
 
     rows = order_instances(spark, sf_dir)
     records = instance_source.encode(rows, F.col("row"))
-    path = f"{_folder(spark)}/records-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     recordio.write(records, path)
-    back = instance_source.decode(recordio.read_any_store(spark, path))
+    back = instance_source.decode(recordio.read(spark, path))
     return back.groupBy("num_positive", "num_appearance").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("features")).cast("bigint").alias("features"))
 
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
-
-
 def text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written as one shard and read again with the place of each."""
+    """Lines written as sorted shards and read again with the place of each, counted through all shards."""
     from quarry.sources import shards
 
-    path = f"{_folder(spark)}/lines-{uuid.uuid4().hex}"
-    names = read(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1)
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    names = read(spark, sf_dir, "customer").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
     shards.write_text(names.select(F.col("c_name").alias("value")), path)
-    return shards.read_text_with_places(spark, path).select(F.substring("key", -10, 10).cast("bigint").alias("place"), "value")
+    lines = shards.read_text_with_places(spark, path).select(F.expr("left(key, length(key) - 11)").alias("file"), F.substring("key", -10, 10).cast("bigint").alias("at"), "value")
+    sizes = lines.groupBy("file").agg(F.max(F.col("at") + F.octet_length("value") + 1).alias("size"))
+    before = sizes.select(F.col("file").alias("of"), (F.sum("size").over(Window.orderBy("file")) - F.col("size")).alias("before"))  # a row a file
+    return lines.join(F.broadcast(before), F.col("file") == F.col("of")).select((F.col("at") + F.col("before")).alias("place"), "value")
 
 
 def message_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +191,10 @@ def message_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of the newest saved state of a training run that is stopped early and resumed."""
-    path = training.new_state_path(_folder(spark))
+    path = training.new_state_path(shared_folder(spark))
     rows = _numbered(spark, sf_dir)
-    training.train(rows, training.Options(l1=L1, max_iterations=2), path)
+    for most in (2, 4):  # the second run goes on from the first one's state
+        training.train(rows, training.Options(l1=L1, max_iterations=most), path)
     return training.dump_state(spark, path, model_only=True)
 
 
@@ -219,6 +230,7 @@ QUERIES = {
         feature_dictionary, convert_features, sparse_dot, sparse_add_scaled, sparse_scale, dense_dot, dimension, objective_at_zero,
         objective_at_w, gradient_at_w, steepest_dir, dir_deriv, next_point, fix_signs, improvement_filter, predict, train_l1_logreg,
         parameter_mixture, model_text_roundtrip, recordio_roundtrip, text_places, message_dump, saved_state, text_instances, distinct_names_job,
+        hybrid_dot, vector_elements,
     )
 }
 ORACLES = {
@@ -229,6 +241,10 @@ ORACLES = {
     "sparse_add_scaled": f"SELECT id, coalesce(u.value, 0) - coalesce(v.value, 0) AS value FROM ({_U.format(2)}) u FULL JOIN ({_U.format(3)}) v USING (id) WHERE coalesce(u.value, 0) <> coalesce(v.value, 0)",
     "sparse_scale": f"SELECT id, value * 0.25::DOUBLE AS value FROM ({_U.format(2)})",
     "dense_dot": "SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor(x::FLOAT * 64::FLOAT)::DOUBLE * floor(x::FLOAT * 64::FLOAT)::DOUBLE)) AS dot FROM embeddings",
+    "hybrid_dot": "SELECT vec_id, floor(embedding[1]::FLOAT * 64::FLOAT)::DOUBLE + 2 * floor(embedding[6]::FLOAT * 64::FLOAT)::DOUBLE - 0.5 * floor(embedding[64]::FLOAT * 64::FLOAT)::DOUBLE AS dot FROM embeddings",
+    "vector_elements": f"""WITH u AS (SELECT id, value, floor((id - 1) / 20.0)::INTEGER AS k FROM ({_U.format(2)})), g AS (SELECT k, count(*) AS n, (k * 20 + 3 + k % 2)::INTEGER AS a FROM u GROUP BY k)
+        SELECT g.k, coalesce(u.value, 0) AS value, u.id IS NOT NULL AS there, (n - (u.id IS NOT NULL)::INTEGER + (g.k % 3 <> 0)::INTEGER)::INTEGER AS n, CASE WHEN g.k % 3 = 0 THEN 0 ELSE 7.5 END::DOUBLE AS now
+        FROM g LEFT JOIN u ON u.id = g.a""",
     "dimension": f"{_DICT} SELECT max(id)::BIGINT + 1 AS dim FROM feat JOIN dict USING (name)",
     "objective_at_zero": f"{_ZERO}{_SCORED} SELECT round(1 + sum(loss), 6) AS value FROM l",
     "objective_at_w": f"{_W}{_SCORED} SELECT round(1 + sum(loss) + {L1} * (SELECT sum(abs(value)) FROM w), 6) AS value FROM l",

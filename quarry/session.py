@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -17,10 +21,24 @@ def session(name: str = "quarry", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=DEFAULTS | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset and every task runs in this process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master or ""):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="quarry-shared-")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once a context, unless PYTHONPATH has it for them."""
     import os
-    import tempfile
     import zipfile
     from pathlib import Path
 

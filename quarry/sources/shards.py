@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Shard names, and the parts of an address (scheme, user and password, host and port, path).
+#: Shard names, and the port of an address that names none.
 SHARD_NAME = "%s-%05d-of-%05d"
-ADDRESS = r"^([^:]*://)?([^:@]+(:[^@]*)?@)?([^#]*(#[^:]*)?:)?(.*)$"
 DEFAULT_PORT = 22
 
 
@@ -22,21 +21,47 @@ def shard_pattern(base: str) -> str:
     return f"{base}-[0-9][0-9][0-9][0-9][0-9]-of-[0-9][0-9][0-9][0-9][0-9]"
 
 
+def _before(text: Column, mark: str) -> Column:
+    """What stands before the first mark, all where there is none."""
+    return F.substring_index(text, mark, 1)
+
+
+def _after(text: Column, part: Column) -> Column:
+    """The text behind a part that it begins with."""
+    return F.substring(text, F.length(part) + 1, F.length(text))
+
+
 def parse_address(address: Column) -> Column:
-    """protocol, user, password, host, port and path of an address; this machine's names make it a local file."""
-    part = lambda k: F.regexp_extract(address, ADDRESS, k)
-    login, place = F.rtrim(part(2), F.lit("@")), F.rtrim(part(4), F.lit(":"))
-    second = lambda text, by: F.when(F.instr(text, by) > 0, F.substring_index(text, by, -1)).otherwise("")
-    host = F.substring_index(place, "#", 1)
-    port = F.coalesce(F.nullif(F.regexp_extract(second(place, "#"), r"^\s*([0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
-    local = host.isin("127.0.0.1", "localhost") | (part(1) == "")
+    """protocol, user, password, host, port and path of an address; this machine's names make it a local file.
+
+    "protocol://user:password@host#port:path", where all but the path may be missing: the
+    protocol ends at "://" if no colon is before it, the login at the first "@", the host at "#"
+    or at the last colon, the port at the next colon.
+    """
+    nothing = F.lit("")
+    scheme = _before(address, ":")
+    protocol = F.when(F.startswith(_after(address, scheme), F.lit("://")), F.concat(scheme, F.lit("://"))).otherwise(nothing)
+    rest = _after(address, protocol)
+    login = _before(rest, "@")
+    login = F.when((login != rest) & (_before(login, ":") != ""), login).otherwise(nothing)
+    rest = _after(rest, F.when(login != "", F.concat(login, F.lit("@"))).otherwise(nothing))
+    named = _before(rest, "#")  # host, if a port follows
+    port = _before(_after(rest, F.concat(named, F.lit("#"))), ":")
+    with_port = F.concat(named, F.lit("#"), port, F.lit(":"))
+    last = F.substring_index(named, ":", -1)
+    bare = F.when(last != named, F.substring(named, F.lit(1), F.length(named) - F.length(last))).otherwise(nothing)
+    place = F.when(F.startswith(rest, with_port), with_port).otherwise(bare)
+    host = F.when(F.startswith(rest, with_port), named).otherwise(F.rtrim(bare, F.lit(":")))
+    number = F.when(F.startswith(rest, with_port), F.nullif(F.regexp_extract(port, r"^\s*([0-9]+)", 1), nothing).cast("int"))
+    local = host.isin("127.0.0.1", "localhost") | (protocol == "")
+    user = _before(login, ":")
     return F.struct(
-        F.when(local, F.lit("file://")).otherwise(part(1)).alias("protocol"),
-        F.substring_index(login, ":", 1).alias("user"),
-        second(login, ":").alias("password"),
+        F.when(local, F.lit("file://")).otherwise(protocol).alias("protocol"),
+        user.alias("user"),
+        F.when(user != login, _after(login, F.concat(user, F.lit(":")))).otherwise(nothing).alias("password"),
         host.alias("host"),
-        F.when(port == 0, DEFAULT_PORT).otherwise(port).alias("port"),
-        part(6).alias("path"),
+        F.coalesce(F.nullif(number, F.lit(0)), F.lit(DEFAULT_PORT)).alias("port"),
+        _after(rest, place).alias("path"),
     )
 
 

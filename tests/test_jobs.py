@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions.strings import split_using
-from quarry.operators.workers import REGISTRY, BatchReducer, Context, IdentityMapper, IdentityReducer, IncrementalReducer, Mapper, SumDouble, SumInteger, create, register
+from quarry.operators.workers import REGISTRY, BatchReducer, Context, IdentityMapper, IdentityReducer, IncrementalReducer, Mapper, SumDouble, SumFloat, SumInteger, create, register
 from quarry.plans.job import Job, hash_shard, to_all_shards, to_shard
 
 WORDS = ["apple banana orange", "", "banana orange apple", "apple orange", "orange banana", "banana apple"]
@@ -152,3 +152,33 @@ def test_registry():
 def test_empty_input(spark):
     df = spark.createDataFrame([], "key string, value string")
     assert Job(df, reducer=Concat, shards=2).run().collect() == [] and Job(df, Lengths, map_only=True).run().count() >= 0
+
+
+def test_output_is_handed_over_within_a_key():
+    """An identity over a large key never holds it: what was emitted leaves at the reducer's yields."""
+    context, held = Context(), []
+    for _ in IdentityReducer(context).reduce("k", iter(range(50_000))):
+        if len(context.emitted) >= 10_000:
+            held.append(len(context.emitted))
+            context.emitted = []
+    assert held == [10_000] * 5 and not context.emitted
+
+
+def test_one_large_key(spark):
+    df = spark.range(30_000).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("value"))
+    rows = Job(df, reducer=IdentityReducer, shards=2).run()
+    assert rows.count() == 30_000 == rows.select("value").distinct().count()
+
+
+def test_passes_over_many_partitions(spark):
+    """Every partition is seen whole in each pass, also one without rows."""
+    df = pairs(spark, WORDS).repartition(3, "key").where("key <> '0'")
+    job = Job(df, Lengths, SumInteger, shards=2, passes=3, config={"prefix": "p"})
+    total = str(sum(map(len, WORDS[1:])))
+    assert result(job.run()) == [("p0", total), ("p1", total), ("p2", total), ("rows", str(3 * (len(WORDS) - 1)))]
+
+
+def test_sums_in_single_precision(spark):
+    df = spark.createDataFrame([("a", "16777216"), ("a", "1"), ("b", "0.5"), ("b", "0.25")], "key string, value string")
+    got = result(Job(df.coalesce(1), reducer=SumFloat, shards=1).run())
+    assert [(k, float(v)) for k, v in got] == [("a", 16777216.0), ("b", 0.75)]

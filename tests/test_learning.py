@@ -192,3 +192,35 @@ def test_command_line(spark, tmp_path):
     line = spark.read.text(str(tmp_path / "model")).first()["value"]
     back = {x["id"]: x["value"] for x in spark.range(1).select(vectors.from_text(F.lit(line)).alias("v")).first()["v"]}
     assert back == dict(zip(model.ids.tolist(), model.weights.tolist()))
+
+
+def test_more_iterations_of_a_saved_run(spark, random_instances, tmp_path):
+    """A run that had enough iterations goes on as if it had not stopped."""
+    path = str(tmp_path / "state")
+    training.train(random_instances, training.Options(l1=0.5, max_iterations=3), path)
+    later = training.train(random_instances, training.Options(l1=0.5, max_iterations=7), path)
+    whole = training.train(random_instances, training.Options(l1=0.5, max_iterations=7))
+    assert later.iterations == whole.iterations and later.weights == pytest.approx(whole.weights, rel=1e-6, abs=1e-9)
+
+
+def test_features_of_one_id_in_near_linear_time(spark):
+    import time
+
+    took = []
+    for n in (200, 4000):
+        rows = spark.range(20).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct((k % (n // 2)).cast("int").alias("id"), k.cast("double").alias("value"))).alias("f"))
+        for how in ("last", "sum"):
+            began = time.time()
+            got = rows.select(F.size(objective.single(F.col("f"), how)).alias("n")).distinct().collect()
+            took.append(time.time() - began)
+            assert [r["n"] for r in got] == [n // 2]
+    assert max(took[2:]) < 5
+
+
+def test_conversion_of_odd_features(spark):
+    schema = "row int, features array<struct<name:string,id:int,value:double>>, more string"
+    rows = [(1, [("a", None, 1.0), ("b", None, 2.0)], "x"), (2, [("a", None, 1.0), ("c", None, 2.0)], None), (3, [], "y"), (4, None, "z"), (5, [(None, None, 1.0)], "n"), (6, [("b", None, 5.0)] * 3, "m")]
+    names = spark.createDataFrame([("a", 1), ("b", 2)], "name string, id int")
+    for size in (None, 1 << 40):
+        got = {r["row"]: ([(f["id"], f["value"]) for f in r["features"] or []], r["more"]) for r in features.convert(spark.createDataFrame(rows, schema), names, size).collect()}
+        assert got == {1: ([(1, 1.0), (2, 2.0)], "x"), 3: ([], "y"), 4: ([], "z"), 6: ([(2, 5.0)] * 3, "m")}
