@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quarry.session import shared_folder
+
 #: ASCII bytes that str.split() separates on, and nothing else, are the word
 #: separators of the "[^\x20\x09-\x0D]+" contracts; bytes.lower() lower-cases A-Z only.
 _WORD = bytes(
@@ -49,31 +48,13 @@ def binary_column(batch, name: str) -> list[bytes]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder the cluster names.
-
-    A folder of our own is taken only where spark.checkpoint.dir is unset, as in tests.
-    """
+    """Cut the lineage by a reliable checkpoint in the folder the cluster names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset and every task runs on this machine, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own_folder()
-
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="quarry-shared-")
-
-
 #: Writer options for tables of large rows: their buffers are looked at after each row.
 LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)}
 #: Tables that this process has written and not given up yet, by path.
@@ -83,7 +64,7 @@ _WRITTEN: dict[str, SparkSession] = {}
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder; discard() or sweep() deletes it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    path = f"{shared_folder(spark)}/{name}"
     df.write.options(**options).parquet(path)
     _WRITTEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)

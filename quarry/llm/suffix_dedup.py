@@ -12,14 +12,18 @@ its region, and equal regions are one entry with a multiplicity.
    them in batches to its index family: a batch gets a suffix array (text from the
    anchor on) and a prefix array (text before it, backwards), is merge-scanned against
    every level, and levels of equal size merge, as digits of a binary counter carry.
-   A scan takes, for each offset, the entries whose classes agree in both arrays.
+   A scan takes, for each offset, the entries whose classes agree in both arrays; of a
+   level, only entries of the batch's own grams, as no others share a window with it.
 3. A gram with more than GROUP distinct regions doesn't go to one task: its windows
    are counted by hash instead, which spreads them evenly and gives the same result.
 4. The spans go back to the documents, are merged, and the rest of the text is kept.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes lose nothing;
-rows that repeat as a whole lose whatever lies in windows; several rows of one doc_id
-are judged separately; strings never cross documents; extra columns are ignored.
+rows that repeat as a whole lose whatever lies in windows; several rows of one doc_id, or
+of none, are judged separately (rows are told apart by 128 bits of id and text together,
+and rows of equal id and text have equal results); strings never cross documents; very
+long texts are looked at in segments that overlap; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import binary_column, shuffle_width, written
+from quarry.llm.common import binary_column, discard, shuffle_width, written
 
 LENGTH, GRAM = 200, 40
 #: Distinct regions of one gram that a task may index.
 GROUP = 20_000
-#: Entries of a batch that gets a suffix array of its own.
-BATCH = 16_384
+#: Entries of a batch that gets a suffix array of its own, and about how many a task indexes.
+BATCH, ENTRIES = 16_384, 250_000
 #: Windows are looked at in segments of so many starts.
 SEGMENT = 1 << 22
 _BLOCK = 1 << 17
@@ -145,6 +149,11 @@ class Level:
         a, b = np.argsort(right, kind="stable"), np.argsort(left, kind="stable")
         return cls(right[a], ids[a], left[b], ids[b])
 
+    def only(self, kept: np.ndarray) -> Level:
+        """The entries that kept, by id, says."""
+        a, b = kept[self.right_ids], kept[self.left_ids]
+        return Level(self.right[a], self.right_ids[a], self.left[b], self.left_ids[b])
+
     def merged(self, other: Level) -> Level:
         a = np.searchsorted(self.right, other.right, side="right")
         b = np.searchsorted(self.left, other.left, side="right")
@@ -174,9 +183,10 @@ class Family:
         self.n = 0
         self.least = self.most = np.zeros(0, np.int64)
         self.low = self.high = np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.int64)
 
-    def add(self, contexts: list[bytes], offsets: np.ndarray) -> None:
-        """A batch of regions, with the offset of the anchor in each."""
+    def add(self, contexts: list[bytes], offsets: np.ndarray, grams: np.ndarray | None = None) -> None:
+        """A batch of regions, with the offset of the anchor in each, and hashes of the anchors' grams (all alike, if not given)."""
         ids = np.arange(self.n, self.n + len(contexts))
         sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
         right = np.array([c[o : o + self.length] for c, o in zip(contexts, offsets)], dtype=f"S{self.length}")
@@ -186,11 +196,14 @@ class Family:
         self.least = np.concatenate([self.least, offsets - (sizes - self.length)])
         self.low = np.concatenate([self.low, np.full(len(ids), self.length + 1)])
         self.high = np.concatenate([self.high, np.full(len(ids), -1)])
+        self.grams = np.concatenate([self.grams, np.zeros(len(ids), np.int64) if grams is None else grams])
         level = Level.of(right, left, ids)
         self._scan(level)
+        met = np.isin(self.grams, self.grams[ids])  # no window is shared without its gram
+        met[ids] = False
         for old in self.levels:
-            if old is not None:
-                self._scan(old.merged(level))
+            if old is not None and len(near := old.only(met)):
+                self._scan(near.merged(level))
         place = 0
         while place < len(self.levels) and self.levels[place] is not None:
             level = self.levels[place].merged(level)
@@ -235,9 +248,11 @@ class Family:
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, tag and text: several rows of one id are told apart by a tag, 64 bits of their texts."""
+    """own (the id), text, and id and tag: two halves of a 128-bit digest of both, which tell rows apart."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    digest = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit("|"), text).cast("binary"))
+    half = lambda k: F.conv(F.substring(digest, k, 16), 16, -10).cast("bigint")
+    return docs.select(F.col(id_column).alias("own"), half(1).alias("id"), half(17).alias("tag"), text.alias("text"))
 
 
 def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -250,7 +265,7 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 place = (low.astype(np.int64) << 24) | ((size - length) << 12) | offset
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(ids[which]), pa.array(tags[which]), pa.array(place)], ["gram", "region", "id", "tag", "place"])
 
-    return keyed.mapInArrow(scan, "gram bigint, region bigint, id bigint, tag bigint, place bigint")
+    return keyed.select("id", "tag", "text").mapInArrow(scan, "gram bigint, region bigint, id bigint, tag bigint, place bigint")
 
 
 def _index(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -264,7 +279,7 @@ def _index(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
         def add() -> None:
             part = pa.Table.from_batches(waiting)
-            family.add([bytes(x) for x in part["context"].to_pylist()], part["offset"].to_numpy().astype(np.int64))
+            family.add([bytes(x) for x in part["context"].to_pylist()], part["offset"].to_numpy().astype(np.int64), part["gram"].to_numpy())
             waiting.clear()
 
         for batch in batches:
@@ -321,6 +336,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mixed = taking.where("mixed")
     entries = mixed.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "place")).alias("one"))
     entries = written(entries.select("gram", "region", "n", F.col("one.id").alias("of_id"), F.col("one.tag").alias("of_tag"), "one.place"), f"entries-{uuid.uuid4().hex}")
+    discard(by_gram)
+    tasks = max(shuffle_width(spark), -(-entries.count() // ENTRIES))
     context = F.substring(F.col("text").cast("binary"), (low + 1).cast("int"), size.cast("int"))
 
     def with_context(some: DataFrame) -> DataFrame:
@@ -328,7 +345,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         joined = keyed.join(some, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag")))
         rows = joined.select("gram", "region", "n", F.col("place").bitwiseAND(0xFFF).alias("offset"), size.alias("size"), context.alias("context"))
         # rows that repeat as a whole have given the same text
-        return rows.repartition(shuffle_width(spark), "gram").dropDuplicates(["gram", "region"])
+        return rows.repartition(tasks, "gram").dropDuplicates(["gram", "region"])
 
     crowded = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("regions")).where(F.col("regions") > GROUP).select("gram")
     if crowded.isEmpty():
@@ -358,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         raise ValueError("a gram is at most as long as the string, which is under 4096 bytes")
     keyed = _keyed(docs, id_column, text_column)
     spans = repeated_spans(keyed, length, gram).select(F.col("id").alias("at_id"), F.col("tag").alias("at_tag"), "spans")
-    joined = keyed.join(spans, (F.col("id") == F.col("at_id")) & (F.col("tag") == F.col("at_tag")), "left").select("id", "text", "spans")
+    joined = keyed.join(spans, (F.col("id") == F.col("at_id")) & (F.col("tag") == F.col("at_tag")), "left").select("own", "text", "spans")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -375,15 +392,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 rest = b"".join(kept)
                 for column, v in zip(out, (len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest)):
                     column.append(v)
-            ids = batch.column("id")
+            ids = batch.column("own")
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             columns = [ids, *(pa.array(c, k) for c, k in zip(out[: 4 + with_kept], kinds))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
+            yield pa.RecordBatch.from_arrays(columns, ["own", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
 
-    schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
+    schema = f"own {dict(docs.dtypes)[id_column]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
     found = joined.mapInArrow(cut, schema)
-    own = F.when(F.col("id") == -(1 << 63), None).otherwise(F.col("id")).cast(dict(docs.dtypes)[id_column]).alias(id_column)
-    return found.select(own, *found.columns[1:])
+    return found.select(F.col("own").alias(id_column), *found.columns[1:])
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -57,6 +57,25 @@ def test_family_of_levels(texts, batch):
         assert (sum(e - s for s, e in runs), len(runs)) == want[1:3]
 
 
+def test_batches_meet_levels_of_their_own_grams():
+    """A batch that comes later finds its gram's entries in every level, and no others."""
+    rng = random.Random(2)
+    word = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    passages = [word(40) for _ in range(5)]
+    texts = [word(rng.randint(0, 20)) + rng.choice(passages)[rng.randint(0, 9) :] + word(rng.randint(0, 20)) for _ in range(120)]
+    rows = [(k, s, n, o, g) for which, g, _, low, size, offset in suffix_dedup.anchors_of(texts, 20, 6) for k, g, s, n, o in zip(which, g.view(np.int64), low, size, offset)]
+    rng.shuffle(rows)
+    family, spans = suffix_dedup.Family(20, 6), {}
+    for a in range(0, len(rows), 17):
+        part = rows[a : a + 17]
+        family.add([texts[k][s : s + n] for k, s, n, *_ in part], np.array([r[3] for r in part]), np.array([r[4] for r in part]))
+    for (k, s, *_), a, e in zip(rows, *family.find()):
+        if e:
+            spans.setdefault(int(k), []).append((int(s + a), int(s + e)))
+    want = suffix_dedup.brute_force([t.decode() for t in texts], 20)
+    assert [sum(e - s for s, e in suffix_dedup.merge_spans(spans.get(k, []))) for k in range(len(texts))] == [w[1] for w in want]
+
+
 def test_levels_carry_like_a_counter():
     family = suffix_dedup.Family(8, 3)
     for k in range(5):
