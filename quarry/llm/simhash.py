@@ -7,23 +7,27 @@ fingerprints are stored as vertical bit planes; carry-save counters of two bits
 an overflow bit add up 64 distances a machine word, and a block of lanes is
 abandoned once every lane is over the radius. Each bucket gives a spanning forest of
 its links, never all pairs; components come from star contraction over the links,
-with a checkpoint each round. Copies of a fingerprint are one node throughout.
+with a checkpoint each round. Copies of a fingerprint are one node throughout. A bucket of
+over PART members is cut into blocks, and every pair of blocks is a bucket of its own, so
+that no task holds more than two blocks of it.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero,
 which links like any other; fewer words than the shingle: the whole sequence is the
 one shingle; repeated rows each get their row; a null doc_id never is a component's
-id unless it has no other; an empty table gives no rows; extra columns are ignored.
+id unless it has no other; a very long text is hashed whole, in bounded memory a shingle; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import binary_column, checkpointed, clashless, shuffle_width, spaced_words, text_key
+from quarry.llm.common import binary_column, checkpointed, clashless, discard, shuffle_width, spaced_words, text_key, written
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -31,6 +35,10 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 EDGES = 100_000
 #: Buckets up to this size are compared as lanes of pairs, larger ones probe against block.
 SMALL = 48
+#: Members of a bucket, and of a group whose sets are compared, from which these are split; rows of buckets to a task.
+PART, GROUP, TASK_ROWS = 20_000, 2_000, 500_000
+#: Split keys up to which these are sent to every task.
+FEW_KEYS = 100_000
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -160,6 +168,31 @@ def _places(bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), bitorder="little"))
 
 
+def hot_keys(rows: DataFrame, key: str, part: int) -> DataFrame | None:
+    """(of_hot, ways): the keys with over `part` rows, and how many blocks each is cut into; None if there are none."""
+    counted = rows.groupBy(F.col(key).alias("of_hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
+    hot = written(counted.select("of_hot", F.ceil(F.col("n") / part).cast("int").alias("ways")), f"hot-{uuid.uuid4().hex}")
+    n = hot.count()
+    if not n:
+        discard(hot)
+        return None
+    return F.broadcast(hot) if n <= FEW_KEYS else hot
+
+
+def in_block_pairs(rows: DataFrame, key: str, member: str, hot: DataFrame | None) -> DataFrame:
+    """rows with the key of a hot bucket changed to keys of its pairs of blocks: each row once for each block it is to meet.
+
+    Keys that met by chance would only make two buckets one.
+    """
+    if hot is None:
+        return rows
+    joined = rows.join(hot, F.col(key) == F.col("of_hot"), "left")
+    own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("ways")).cast("int")
+    each = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1)))
+    pair = F.xxhash64(key, F.least(own, "other"), F.greatest(own, "other"))
+    return each.withColumn(key, F.when(F.col("ways").isNull(), F.col(key)).otherwise(pair)).select(*rows.columns)
+
+
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union by smallest place, of all the given links at once."""
     while len(a):
@@ -219,16 +252,24 @@ def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) ->
     size_at = np.repeat(sizes, sizes)
     root = np.arange(len(values))
     small = np.flatnonzero((size_at > 1) & (size_at <= SMALL))
-    shift = 1
-    while len(small):
-        small = small[small + shift < len(keys)]
-        small = small[keys[small] == keys[small + shift]]
-        for k in range(0, len(small), 1 << 16):
-            left = small[k : k + (1 << 16)]
-            planes = planes_of(values[left] ^ values[left + shift])
-            hit = _places(within(lambda p, live: planes[p][live], (planes.shape[1],), _lane_bits(len(left)), radius))
-            _merge(root, left[hit], left[hit] + shift)
-        shift += 1
+    for a in range(0, len(small), 1 << 16):
+        # a run of buckets that begins in this stretch and ends in the next is in both, so that no pair is missed
+        held, shift = small[a : a + (1 << 16) + SMALL], 1
+        while len(held):
+            planes, own = planes_of(values[held]), keys[held]
+            for ahead in range(shift, 2 * shift):  # every lane against the one so many lanes on, in all buckets at once
+                same = np.zeros(planes.shape[1] * 64, np.uint8)
+                same[: max(0, len(held) - ahead)] = own[ahead:] == own[:-ahead]
+                lanes = np.packbits(same, bitorder="little").view("<u8")
+                if not lanes.any():
+                    continue
+                far = planes >> np.uint64(ahead)
+                far[:, :-1] |= planes[:, 1:] << np.uint64(64 - ahead)
+                gap = planes ^ far
+                hit = _places(within(lambda p, live: gap[p][live], (len(lanes),), lanes, radius))
+                _merge(root, held[hit], held[hit + ahead])
+            shift *= 2
+            held = held[size_at[held] > shift]
     for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
         _link_block(values[at : at + n, None], root[at : at + n], at, lambda differ, shape, lanes: within(differ, shape, lanes, radius))
     linked = np.flatnonzero(root != np.arange(len(root)))
@@ -301,7 +342,9 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
             a, b = a.view(np.int64), b.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    buckets = fingerprints.select("fp").mapInArrow(deal, "bucket bigint, fp bigint").repartition(shuffle_width(fingerprints.sparkSession), "bucket")
+    dealt = fingerprints.select("fp").mapInArrow(deal, "bucket bigint, fp bigint")
+    tasks = max(shuffle_width(fingerprints.sparkSession), -(-16 * fingerprints.count() // TASK_ROWS))
+    buckets = in_block_pairs(dealt, "bucket", "fp", hot_keys(dealt, "bucket", PART)).repartition(tasks, "bucket")
     return buckets.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -422,10 +465,14 @@ def _keyed_groups(docs: DataFrame, shingle: int, similarity: float, id_column: s
             a, b = wide_links(table["bucket"].to_numpy(), prints, radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b]))], ["a", "b"])
 
-    buckets = nodes.select(F.explode("keys").alias("bucket"), "node", "fp").repartition(shuffle_width(docs.sparkSession), "bucket")
+    buckets = nodes.select(F.explode("keys").alias("bucket"), "node", "fp")
+    buckets = in_block_pairs(buckets, "bucket", "node", hot_keys(buckets, "bucket", PART))
+    buckets = buckets.repartition(max(shuffle_width(docs.sparkSession), -(-LEAST_SHINGLES * nodes.count() // TASK_ROWS)), "bucket")
     loose = components(buckets.mapInArrow(compare, "a bigint, b bigint").where("a < b").distinct())
     loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("in_node"), F.col("root").alias("loose"))
+    loose = checkpointed(loose)
     members = nodes.join(loose, F.col("node") == F.col("in_node")).select("node", "loose", F.col("low.key").alias("of_key"))
+    hot = hot_keys(loose, "loose", GROUP)
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -459,8 +506,11 @@ def _keyed_groups(docs: DataFrame, shingle: int, similarity: float, id_column: s
             yield settled(group)
 
     texts = keyed.select("key", text_column).join(members, F.col("key") == F.col("of_key")).select("node", "loose", text_column)
-    dealt = texts.mapInArrow(sets, "node bigint, loose bigint, shingles binary").repartition(shuffle_width(docs.sparkSession), "loose").sortWithinPartitions("loose")
-    linked = dealt.mapInArrow(decide, "node bigint, root bigint").select(F.col("node").alias("n"), "root")
+    dealt = in_block_pairs(texts.mapInArrow(sets, "node bigint, loose bigint, shingles binary"), "loose", "node", hot).repartition(shuffle_width(docs.sparkSession), "loose").sortWithinPartitions("loose")
+    linked = dealt.mapInArrow(decide, "node bigint, root bigint")
+    if hot is not None:  # links of block pairs meet
+        linked = components(linked.select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).where("a < b").distinct())
+    linked = linked.select(F.col("node").alias("n"), "root")
     of = nodes.select("node", "low").join(linked, F.col("node") == F.col("n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     of = checkpointed(of)
     least = of.groupBy("root").agg(F.min("low").alias("least"))
@@ -475,8 +525,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     fingerprints are compared, bit-sliced, between documents that share one of the 8 least
     shingle hashes of either, at a similarity less SLACK (some six standard deviations of
     the estimate). This only chooses what to compare: within the groups so met, pairs link
-    by the exact Jaccard similarity of their sets of distinct shingles. Texts of equal sets
-    are one node; texts without words are one group.
+    by the exact Jaccard similarity of their sets of distinct shingles. Of the 8 least
+    hashes of two sets together, each is in both with the probability of their similarity,
+    so a pair at 0.8 shares none with 0.2^8, three in a million. Groups of over GROUP sets
+    are compared in pairs of blocks. Texts of equal sets are one node; texts without words
+    are one group.
     """
     found = _keyed_groups(docs, shingle, similarity, id_column, text_column)
     return found.select(id_column, "fp", F.col("least.id").alias("component_id"))

@@ -494,3 +494,47 @@ def test_probes_are_fitted_and_prune(spark):
         assert np.mean([met[k, i] for k in range(len(q)) for i, _ in want[int(q[k])]]) >= 0.9
         shares.append(met.mean())
     assert shares[1] < 0.8 * shares[0]
+
+
+@pytest.mark.parametrize("part", [3, 20_000])
+def test_hot_buckets_are_split_into_blocks(spark, monkeypatch, part):
+    """Whatever the size of blocks, components and groups are the same."""
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "GROUP", part)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(40):
+        own = words[:]
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(100)) for _ in range(10)] + [None, "", "one"]
+    docs = documents(spark, texts)
+    rows = simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint(), "component_id").collect()
+    assert sorted((r[0], r[1], r[2]) for r in rows) == brute_components(spark, docs)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(brute_groups(texts))
+
+
+def test_near_duplicates_are_found_and_no_others(spark):
+    """The groups of many altered copies are those of all pairs compared: recall 1, and nothing below the similarity."""
+    rng, texts = random.Random(31), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(20, 300))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            own = words[:]
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                own[rng.randrange(len(own))] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == list(brute_groups(texts))
+
+
+def test_very_long_and_odd_rows_of_fingerprints(spark):
+    long = "a b c d e f g " * 60_000
+    docs = spark.createDataFrame([(None, long), (1, long + "h"), (1, None), (2, "")], "doc_id long, text string")
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 4 and {r["component_id"] for r in rows if r["doc_id"] == 2} == {1}
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(docs).collect()} == {(None, 1), (1, 1), (2, 1)}
