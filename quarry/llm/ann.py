@@ -137,7 +137,7 @@ def nearest(query: np.ndarray, entries: np.ndarray, lowest: np.ndarray, keep: in
 
 
 def _search(rows: DataFrame, keep: int) -> DataFrame:
-    """rows: bucket, part, vec, and ids and code (an entry) or query and codes (null: all). Gives (query, hits) for each part."""
+    """rows: bucket, part, vec, and ids and code (an entry) or query and codes (null: all). Gives (query, hits) for each task's parts."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,6 +151,7 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
         asks, ids, code, codes = (table[c].to_pylist() for c in ("query", "ids", "code", "codes"))
         is_query = np.array([x is None for x in ids])
         order = np.argsort(key, kind="stable")
+        met: dict[int, set] = {}  # a query's nearest in any of the task's parts leave it together
         for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             query, entry = group[is_query[group]], group[~is_query[group]]
             if not len(query) or not len(entry):
@@ -159,7 +160,6 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
             by_code = np.argsort(own, kind="stable")
             own, entry = own[by_code], entry[by_code]
             lowest, vectors = np.array([ids[e][0] for e in entry]), vec[entry]
-            who, hits = [], []
             for q in query:
                 if codes[q] is None:
                     at = np.arange(len(entry))
@@ -171,10 +171,11 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
                 if not len(at):
                     continue
                 place, distance = nearest(vec[q], vectors[at], lowest[at], keep)
-                every = sorted((float(d), x) for d, p in zip(distance, at[place]) for x in ids[entry[p]])
-                who.append(asks[q])
-                hits.append([{"distance": d, "vec_id": x} for d, x in every[:keep]])
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(hits, pa.list_(pa.struct([("distance", pa.float64()), ("vec_id", pa.int64())])))], ["query", "hits"])
+                met.setdefault(asks[q], set()).update((d, x) for d, p in zip(distance.tolist(), at[place].tolist()) for x in ids[entry[p]])
+                if len(met[asks[q]]) > 8 * keep:
+                    met[asks[q]] = set(sorted(met[asks[q]])[:keep])
+        hits = [[{"distance": d, "vec_id": x} for d, x in sorted(found)[:keep]] for found in met.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int64()), pa.array(hits, pa.list_(pa.struct([("distance", pa.float64()), ("vec_id", pa.int64())])))], ["query", "hits"])
 
     return rows.repartition(shuffle_width(rows.sparkSession), "bucket", "part").mapInArrow(scan, f"query bigint, hits {_HIT}")
 
@@ -222,7 +223,7 @@ def probes_needed(queries: DataFrame, entries: DataFrame, hasher: Hasher, keep:
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
-    """One row per query with its nearest `keep` hits; a query has met at most `keep` in each part it saw."""
+    """One row per query with its nearest `keep` hits; each task that has met it sends `keep` at most."""
     each = found.select("query", F.explode("hits").alias("hit")).distinct()
     rank = F.row_number().over(Window.partitionBy("query").orderBy("hit.distance", "hit.vec_id"))
     top = each.withColumn("rank", rank).where(F.col("rank") <= keep)
