@@ -1,13 +1,14 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel counts the subsequences of three letters that two windows of at most eight
-letters share, gaps allowed at a decay, so that an insult stays close to itself with
+The kernel counts the subsequences of three letters that two windows of at most twelve
+letters, a word's ends among them, share, gaps allowed at a decay, so that an insult stays close to itself with
 letters put in or left out. Punctuation within words is dropped, common digit
 spellings are read as letters and words written letter by letter are put together,
 before windows are cut.
 
 Learning takes a bounded sample of labelled documents (MAX_TRAIN, smallest hashes of
-doc_id). Their sentences give words and contexts: a word that toxic documents hold in
+doc_id). Their sentences give words and contexts (at most MAX_WORDS words of either kind
+are learnt from, with MAX_WORDS / 2 clean ones that score high; scoring sees every word): a word that toxic documents hold in
 several distinct contexts, and clean ones hardly, is a positive bag of windows; words
 of clean documents are negative. Counting distinct contexts instead of documents
 keeps copies of a document from looking like evidence. Landmarks are windows of both
@@ -20,7 +21,8 @@ three most toxic words and its length, put through a logistic curve fitted on th
 Defined cases: null and empty texts, and texts without a word of three letters, get
 the score of the least value; without labels of both kinds, every score is the share
 of label 1 among those seen (0.5 if none, kept below 0.5 where no word stands out);
-a null label is no label; repeated rows each get a row.
+a null label is no label; repeated rows, and rows of a null doc_id, each get a row; very
+long texts are scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
