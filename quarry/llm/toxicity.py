@@ -8,15 +8,18 @@ before windows are cut.
 
 Learning takes a bounded sample of labelled documents (MAX_TRAIN, smallest hashes of
 doc_id). Their sentences give words and contexts (at most MAX_WORDS words of either kind
-are learnt from, with MAX_WORDS / 2 clean ones that score high; scoring sees every word): a word that toxic documents hold in
+are learnt from, with three times MAX_WORDS / 2 clean ones that score high; scoring sees every word): a word that toxic documents hold in
 several distinct contexts, and clean ones hardly, is a positive bag of windows; words
 of clean documents are negative. Counting distinct contexts instead of documents
 keeps copies of a document from looking like evidence. Landmarks are windows of both
 kinds; the machine is a squared-hinge SVM in the Nyström space, refitted as each bag
-picks its best window and clean words that score high are added. A coarse linear sieve
-in the same kernel, folded into one table of 64^3 numbers, spares the windows that are
-far from everything toxic the landmarks. A document's figures are the values of its
-three most toxic words and its length, put through a logistic curve fitted on the sample.
+picks its best window and clean words that score high are added; those of several clean
+documents weigh like toxic words. Words that are surely toxic (SURE) are learnt with a
+letter put in, too. A coarse linear sieve in the same kernel, folded into one table of
+64^3 numbers, spares the windows that are far from everything toxic the landmarks. A
+document's figures are the values of its three most toxic words and its length, put
+through a logistic curve fitted on the sample and on clean documents of it, half as many
+as there are toxic ones, with one surely toxic word put in, as it is or altered.
 
 Defined cases: null and empty texts, and texts without a word of three letters, get
 the score of the least value; without labels of both kinds, every score is the share
@@ -45,6 +48,10 @@ WIDTH, DECAY, SPAN, LANDMARKS, POWER = 12, 0.6, 5, 320, 3
 REMEMBERED = 300_000
 #: Log-likelihood ratio from which a word's leaning to toxic documents isn't chance, among so many words.
 SURPRISE, CHANCE = 14.0, 0.6
+#: Share of toxic documents from which a word is surely toxic, and its forms with a letter put in that are learnt.
+SURE, FORMS = 0.97, 20
+#: Weight against toxic words of a clean word that scores high and stands in several clean documents.
+FIRM = 2.0
 _FLOOR = -3.0
 
 _LETTER = np.zeros(256, np.int32)
@@ -218,12 +225,16 @@ class Scorer:
                 best = heapq.nlargest(3, map(known.__getitem__, words))
                 out[i, : len(best)] = best
                 out[i, 3] = np.log1p(len(words))
-        # squared hinge against both labels estimates 2 p - 1, so this is the log-odds of a word
-        value = np.clip(out[:, :3], -0.999, 0.999)
-        out[:, :3] = np.log((1 + value) / (1 - value))
+        out[:, :3] = _odds(out[:, :3])
         return out
 
 
+def _odds(values: np.ndarray) -> np.ndarray:
+    """The log-odds of words: squared hinge against both labels estimates 2 p - 1."""
+    value = np.clip(values, -0.999, 0.999)
+    return np.log((1 + value) / (1 - value))
+
+
 def _evidence(sample: DataFrame) -> DataFrame:
     """(word, toxic, clean, contexts): documents of either kind that hold a word, and its distinct contexts in toxic ones."""
 
@@ -251,36 +262,40 @@ def _evidence(sample: DataFrame) -> DataFrame:
     return once.groupBy("word").agg(docs(1).alias("toxic"), docs(0).alias("clean"), F.sum((F.col("context") != 0).cast("int")).alias("contexts"))
 
 
-def _altered(words: list[bytes]) -> list[bytes]:
-    """Each word of five letters or more with one letter put in, at two places."""
-    rng = np.random.default_rng(5)
-    out = []
-    for w in words:
-        if len(w) >= 5 and w.isascii():
-            out += [w[:i] + bytes([97 + int(rng.integers(26))]) + w[i:] for i in rng.choice(np.arange(1, len(w)), 2, replace=False).tolist()]
-    return out
+def _altered(words: list[bytes], forms: int, seed: int) -> tuple[list[bytes], np.ndarray]:
+    """Each word of four letters or more with one letter put in, in some forms, and the numbers of the words."""
+    rng = np.random.default_rng(seed)
+    out, of = [], []
+    for k, w in enumerate(words):
+        for _ in range(forms if len(w) >= 4 and w.isascii() else 0):
+            i = int(rng.integers(1, len(w)))
+            out.append(w[:i] + bytes([97 + int(rng.integers(26))]) + w[i:])
+            of.append(k)
+    return out, np.array(of, int)
 
 
-def _fit(bad: list[bytes], weights: np.ndarray, chance: np.ndarray, good: list[bytes], rounds: int = 3) -> Machine:
-    """chance: the share of toxic ones among the documents that hold each word; the rest counts against it."""
-    altered = _altered(bad)
-    bad, weights, chance = bad + altered, np.concatenate([weights, np.zeros(len(altered))]), np.concatenate([chance, np.full(len(altered), 0.9)])
+def _fit(bad: list[bytes], weights: np.ndarray, chance: np.ndarray, good: list[bytes], firm: list[bytes], rounds: int = 3) -> Machine:
+    """chance: the share of toxic ones among the documents that hold each word; the rest counts against it. firm: clean words that weigh like toxic ones."""
+    sure = np.flatnonzero(chance >= SURE)
+    altered, of = _altered([bad[k] for k in sure], FORMS, 5)
+    bad, weights, chance = bad + altered, np.concatenate([weights, np.zeros(len(altered))]), np.concatenate([chance, chance[sure[of]]])
     bad_rows, bad_first = windows(bad)
     bag = np.repeat(np.arange(len(bad)), np.diff([*bad_first, len(bad_rows)]))
     good_rows = np.unique(windows(good)[0], axis=0)
-    spread = np.random.default_rng(11).permutation(len(good_rows))[: LANDMARKS // 2]
-    marks = np.concatenate([bad_rows[np.argsort(-weights[bag], kind="stable")][: LANDMARKS // 2], good_rows[spread]])
+    firm_rows = windows(firm)[0]
+    spread = np.concatenate([firm_rows[: LANDMARKS // 4], good_rows[np.random.default_rng(11).permutation(len(good_rows))]])[: LANDMARKS // 2]
+    marks = np.concatenate([bad_rows[np.argsort(-weights[bag], kind="stable")][: LANDMARKS // 2], spread])
     marks = marks[np.sort(np.unique(marks, axis=0, return_index=True)[1])]
     landmarks = Landmarks(marks)
     values, vectors = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    bad_x, good_x = landmarks.kernel(bad_rows) @ root, landmarks.kernel(good_rows) @ root
+    bad_x, good_x, firm_x = (landmarks.kernel(rows) @ root for rows in (bad_rows, good_rows, firm_rows))
     chosen = np.arange(len(bad_rows))
     for _ in range(rounds):
-        x = np.concatenate([bad_x[chosen], bad_x[chosen], good_x])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(chosen) + len(good_x))])
+        x = np.concatenate([bad_x[chosen], bad_x[chosen], good_x, firm_x])
+        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(x) - len(chosen))])
         sure = chance[bag[chosen]]
-        cost = np.concatenate([sure / len(chosen), (1 - sure) / len(chosen), np.full(len(good_x), 4 / max(len(good_x), 1))]) * 100
+        cost = np.concatenate([sure / len(chosen), (1 - sure) / len(chosen), np.full(len(good_x), 4 / max(len(good_x), 1)), np.full(len(firm_x), FIRM / len(chosen))]) * 100
         w = _svm(x, y, cost)
         order = np.lexsort((-(bad_x @ w[:-1]), bag))
         chosen = order[np.unique(bag[order], return_index=True)[1]]
@@ -309,6 +324,22 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _with_one(x: np.ndarray, machine: Machine, bad: list[bytes], weight: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
+    """Figures of n of the clean texts with one surely toxic word put in, as it is or with a letter more."""
+    sure = np.flatnonzero(share >= SURE)
+    if not len(sure) or not len(x):
+        return x[:0]
+    words = [bad[k] for k in sure]
+    altered, of = _altered(words, 4, 9)
+    odds = _odds(machine.start().values(words + altered).astype(float))
+    usual = np.concatenate([weight[sure], weight[sure[of]] / 4])
+    rng = np.random.default_rng(3)
+    out = x[rng.integers(len(x), size=n)]
+    put = rng.choice(odds, n, p=usual / usual.sum())
+    out[:, :3] = -np.sort(-np.concatenate([out[:, :3], put[:, None]], axis=1), axis=1)[:, :3]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, most: int = MAX_TRAIN) -> Machine:
     sample = checkpointed(labelled_sample(docs, labels, label, folds, held_fold, most).select("text", "y"))
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -326,8 +357,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     good = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).select("word").collect()]
     bad_words, weight = [bytes(r["word"]) for r in bad], np.array([r["toxic"] for r in bad], float)
     share = np.array([(r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in bad])
-    machine = _fit(bad_words, weight, share, good)
-    for _ in range(2):  # clean words that score high become negatives, too
+    firm: list[bytes] = []
+    machine = _fit(bad_words, weight, share, good, firm)
+    for _ in range(3):  # clean words that score high become negatives, too
         shared = docs.sparkSession.sparkContext.broadcast(machine)
 
         def value(batches: Iterator, shared=shared) -> Iterator:
@@ -336,13 +368,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             own = shared.value.start()
             for batch in batches:
                 word = batch.column("word")
-                yield pa.RecordBatch.from_arrays([word, pa.array(own.values(word.to_pylist()))], ["word", "v"])
+                yield pa.RecordBatch.from_arrays([word, batch.column("clean"), pa.array(own.values(word.to_pylist()))], ["word", "clean", "v"])
 
-        hard = clean.select("word").mapInArrow(value, "word binary, v float").orderBy(F.desc("v"), "word").limit(MAX_WORDS // 2).select("word").collect()
+        hard = clean.select("word", "clean").mapInArrow(value, "word binary, clean bigint, v float").orderBy(F.desc("v"), "word").limit(MAX_WORDS // 2).collect()
         good = list(dict.fromkeys(good + [bytes(r["word"]) for r in hard]))
-        machine = _fit(bad_words, weight, share, good)
-    frame = _figures(sample, machine, ("y",)).toPandas()
-    machine.curve = _curve(frame[list(_FIGURES)].to_numpy(float), frame["y"].to_numpy(float))
+        firm = list(dict.fromkeys(firm + [bytes(r["word"]) for r in hard if r["v"] > 0 and r["clean"] > 1]))
+        machine = _fit(bad_words, weight, share, good, firm)
+    # repeated ids can make more rows than there are labels, so the bound holds here, too
+    figures = _figures(sample, machine, ("y",))
+    frame = figures.orderBy(F.xxhash64(*_FIGURES), *_FIGURES, "y").limit(most).toPandas()
+    x, y = frame[list(_FIGURES)].to_numpy(float), frame["y"].to_numpy(float)
+    more = _with_one(x[y == 0], machine, bad_words, weight, share, int(y.sum()) // 2)
+    machine.curve = _curve(np.concatenate([x, more]), np.concatenate([y, np.ones(len(more))]))
     return machine
 
 

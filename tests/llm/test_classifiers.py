@@ -103,6 +103,27 @@ def test_gaps_and_put_in_letters(corpus):
     assert toxicity.tokens("S.n.o.d.w.i.c.k and g r u m p l e t, b1argh") == [b"snodwick", b"and", b"g", b"r", b"u", b"m", b"p", b"l", b"e", b"t", b"biargh", b"grumplet"]
 
 
+@pytest.mark.parametrize(("altered", "found"), [(False, 0.95), (True, 0.9)])
+def test_one_insult_and_put_in_letters_in_whole_documents(spark, corpus, altered, found):
+    """Documents of the held fold with one insult, or four with a foreign letter each, are found; clean ones aren't."""
+    docs, labels = corpus
+    rng = random.Random(4)
+
+    def hidden(k, text):
+        words = text.split()
+        for _ in range((4 if altered else 1) if k % 2 else 0):
+            insult = rng.choice(INSULTS)
+            at = rng.randrange(1, len(insult))
+            insult = insult[:at] + rng.choice("bcdfgklmpqvwxz") + insult[at:] if altered else insult
+            words.insert(rng.randrange(len(words)), insult)
+        return " ".join(words)
+
+    texts = [hidden(k, prose()) for k in range(300)]
+    rows = toxicity.score_documents(documents(spark, texts), toxicity.train(docs, labels)).collect()
+    toxic, clean = ([r["score"] >= 0.5 for r in rows if r["doc_id"] % 2 == y] for y in (1, 0))
+    assert np.mean(toxic) >= found and np.mean(clean) <= 0.02
+
+
 def test_kernel_by_definition():
     """The window kernel against a plain count of common subsequences."""
 
