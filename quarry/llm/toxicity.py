@@ -15,7 +15,7 @@ keeps copies of a document from looking like evidence. Landmarks are windows of
 kinds; the machine is a squared-hinge SVM in the Nyström space, refitted as each bag
 picks its best window and clean words that score high are added; those of several clean
 documents weigh like toxic words. Words that are surely toxic (SURE) are learnt with a
-letter put in, too. A coarse linear sieve in the same kernel, folded into one table of
+letter put in, too. A coarse machine in the plain kernel, folded into one table of
 64^3 numbers, spares the windows that are far from everything toxic the landmarks. A
 document's figures are the values of its three most toxic words and its length, put
 through a logistic curve fitted on the sample and on clean documents of it, half as many
@@ -299,13 +299,14 @@ def _fit(bad: list[bytes], weights: np.ndarray, chance: np.ndarray, good: list[b
         w = _svm(x, y, cost)
         order = np.lexsort((-(bad_x @ w[:-1]), bag))
         chosen = order[np.unique(bag[order], return_index=True)[1]]
-    toxic = np.zeros(len(marks))
-    toxic[: min(len(bad_rows), LANDMARKS // 2, len(marks))] = 1.0
-    # plain kernel sums with the toxic landmarks, less those with the clean ones: a coarse sieve for whole texts
+    # a machine in the plain kernel, which folds into one table: a coarse sieve for whole texts
     plain = lambda rows: landmarks.kernel(rows) ** (1 / POWER)
-    k_bad, k_good = plain(bad_rows[chosen]), plain(good_rows)
-    gram = np.linalg.solve(k_bad.T @ k_bad / len(k_bad) + k_good.T @ k_good / len(k_good) + 1e-2 * np.eye(len(marks)), k_bad.mean(axis=0) - k_good.mean(axis=0))
-    sieve = landmarks.folded(gram)
+    values, vectors = np.linalg.eigh(plain(marks).astype(np.float64))
+    flat = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    x = np.concatenate([plain(bad_rows[chosen]), plain(good_rows)]) @ flat
+    y = np.concatenate([np.ones(len(chosen)), -np.ones(len(good_rows))])
+    coarse = _svm(x, y, np.concatenate([np.full(len(chosen), 1 / len(chosen)), np.full(len(good_rows), 1 / max(len(good_rows), 1))]) * 400, 1e-2)
+    sieve = landmarks.folded(flat @ coarse[:-1])
     cut = min(float(np.quantile(weigh(good_rows, sieve), 0.9)), float(weigh(bad_rows[chosen], sieve).min()) - 0.05)
     return Machine(marks, root @ w[:-1], float(w[-1]), sieve, cut, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
 
