@@ -297,43 +297,74 @@ def train(instances: DataFrame, options: Options | None = None, state_path: str
         prepared.unpersist()
 
 
-_STATE = "number int, scalars string, ids array<int>, x array<double>, new_x array<double>, grad array<double>, direction array<double>, s array<array<double>>, y array<array<double>>, rho array<double>, seen array<double>, accepted array<double>"
+#: A state is rows of vector fragments; the row named "scalars" has the rest and the sizes of the vectors in its text.
+_STATE = "number int, name string, part int, size int, text string, elements array<double>"
+FRAGMENT = 1 << 20
 _SCALARS = ("old_value", "slope", "step", "backoff", "iteration", "searched", "evaluations", "reason")
+_VECTORS = ("x", "new_x", "grad", "direction", "rho", "seen")
 
 
-def save_state(spark: SparkSession, path: str, number: int, learner: Learner, ids: np.ndarray, values: list[float]) -> None:
-    scalars = json.dumps({k: getattr(learner, k) for k in _SCALARS} | {"options": asdict(learner.options)})
-    listed = lambda v: None if v is None else [float(a) for a in v]
-    row = (number, scalars, [int(i) for i in ids], listed(learner.x), listed(learner.new_x), listed(learner.grad), listed(learner.direction), [listed(v) for v in learner.s], [listed(v) for v in learner.y], listed(learner.rho), listed(learner.seen), listed(values))
-    spark.createDataFrame([row], _STATE).coalesce(1).write.mode("append").parquet(path)
-
+def save_state(spark: SparkSession, path: str, number: int, learner: Learner, ids: np.ndarray, values: list[float], fragment: int = FRAGMENT) -> None:
+    import pyarrow as pa
 
-def load_state(spark: SparkSession, path: str):
-    """(learner, ids, accepted values, number) of the newest state, None without any."""
+    vectors = {"ids": ids, "accepted": values} | {k: getattr(learner, k) for k in _VECTORS} | {f"{k}.{i}": v for k in "sy" for i, v in enumerate(getattr(learner, k))}
+    vectors = {k: np.asarray(v, np.float64) for k, v in vectors.items() if v is not None}
+    sizes = {k: len(v) for k, v in vectors.items()}
+    rows = [("scalars", 0, json.dumps({k: getattr(learner, k) for k in _SCALARS} | {"options": asdict(learner.options), "sizes": sizes}), np.zeros(0))]
+    rows += [(k, at // fragment, None, v[at : at + fragment]) for k, v in vectors.items() for at in range(0, len(v), fragment)]
+    names, parts, texts, pieces = zip(*rows)
+    lengths = [len(v) for v in pieces]
+    whole = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64()), pa.array(np.concatenate(pieces)))
+    columns = [pa.array([number] * len(rows), pa.int32()), pa.array(names), pa.array(parts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(texts, pa.string()), whole]
+    frame = spark.createDataFrame(pa.table(columns, ["number", "name", "part", "size", "text", "elements"]), _STATE)
+    frame.coalesce(max(1, sum(lengths) // (16 * fragment))).write.mode("append").parquet(path)
+
+
+def _newest(spark: SparkSession, path: str):
+    """(rows of the newest state that is there with all its fragments, its scalars), None without any."""
     from pyspark.errors import AnalysisException
 
     try:
         states = spark.read.schema(_STATE).parquet(path)
     except AnalysisException:
         return None
-    row = states.orderBy(F.desc("number")).first()
-    if row is None:
+    # a row a state
+    there = states.groupBy("number").agg(F.sum("size").alias("n"), F.max("text").alias("text")).where("text is not null").orderBy(F.desc("number"))
+    for row in there.toLocalIterator():
+        scalars = json.loads(row["text"])
+        if sum(scalars["sizes"].values()) == row["n"]:
+            return states.where(F.col("number") == row["number"]), scalars, row["number"]
+    return None
+
+
+def load_state(spark: SparkSession, path: str):
+    """(learner, ids, accepted values, number) of the newest whole state, None without any."""
+    found = _newest(spark, path)
+    if found is None:
         return None
-    scalars = json.loads(row["scalars"])
-    array = lambda v: None if v is None else np.array(v, float)
-    learner = Learner(Options(**scalars.pop("options")), array(row["x"]), array(row["new_x"]), array(row["grad"]), array(row["direction"]), [array(v) for v in row["s"]], [array(v) for v in row["y"]], list(row["rho"]), list(row["seen"]))
+    rows, scalars, number = found
+    sizes = scalars.pop("sizes")
+    held: dict[str, list] = {k: [] for k in sizes}
+    for row in rows.where("name <> 'scalars'").orderBy("name", "part").toLocalIterator():
+        held[row["name"]].append(np.array(row["elements"], float))
+    vectors = {k: np.concatenate(v) if v else np.zeros(0) for k, v in held.items()}
+    several = lambda k: [vectors[f"{k}.{i}"] for i in range(sum(name.startswith(f"{k}.") for name in vectors))]
+    options = Options(**scalars.pop("options"))
+    learner = Learner(options, vectors["x"], vectors.get("new_x"), vectors.get("grad"), vectors.get("direction"), several("s"), several("y"), vectors["rho"].tolist(), vectors["seen"].tolist())
     for name, value in scalars.items():
         setattr(learner, name, value)
-    return learner, np.array(row["ids"]), list(row["accepted"]), row["number"]
+    return learner, vectors["ids"].astype(int), vectors["accepted"].tolist(), number
 
 
 def dump_state(spark: SparkSession, path: str, model_only: bool = False) -> DataFrame:
-    """The newest state, or only its model's rows (id, value)."""
-    row = spark.read.schema(_STATE).parquet(path).orderBy(F.desc("number")).limit(1)
+    """The rows of the newest whole state, or only its model's (id, value); no rows without any."""
+    found = _newest(spark, path)
+    rows = found[0] if found else spark.createDataFrame([], _STATE)
     if not model_only:
-        return row
-    pairs = row.select(F.explode(F.arrays_zip("ids", "new_x")).alias("p"))
-    return pairs.select(F.col("p.ids").alias("id"), F.col("p.new_x").alias("value")).where("value <> 0")
+        return rows
+    ids, values = (rows.where(F.col("name") == name).select("part", F.col("elements").alias(name)) for name in ("ids", "new_x"))
+    pairs = ids.join(values, "part").select(F.explode(F.arrays_zip("ids", "new_x")).alias("p"))
+    return pairs.select(F.col("p.ids").cast("int").alias("id"), F.col("p.new_x").alias("value")).where("value <> 0")
 
 
 def local_train(pos: np.ndarray, app: np.ndarray, features: list[list[tuple[int, float]]], options: Options) -> dict[int, float]:

@@ -95,6 +95,8 @@ def write_record(stream, key: bytes, value: bytes) -> None:
 def _system(path: str):
     from pyarrow import fs
 
+    if path.startswith("sftp://"):
+        raise ValueError(f"no file system for {path}: sftp isn't read here; copy the files to a folder that all hosts share")
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

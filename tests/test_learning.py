@@ -112,6 +112,28 @@ def test_resume(spark, random_instances, tmp_path):
     assert training.dump_state(spark, path, model_only=True).count() > 0
 
 
+def test_states_in_fragments(spark, random_instances, tmp_path):
+    """Vectors are kept in fragments, and a state that lacks one gives way to the one before."""
+    path, n = str(tmp_path / "state"), 7
+    ids = np.arange(3, 3 + n)
+    for number in (1, 2):
+        learner = training.Learner(training.Options(), np.arange(n) * 0.5 * number)
+        learner.tell(5.0, np.linspace(-9.0, 9.0, n))
+        training.save_state(spark, path, number, learner, ids, [5.0], fragment=3)
+    whole = training.dump_state(spark, path)
+    assert sorted(r["part"] for r in whole.where("name = 'ids'").collect()) == [0, 1, 2]
+    back, found, values, number = training.load_state(spark, path)
+    assert number == 2 and values == [5.0] and found.tolist() == ids.tolist()
+    for name in ("x", "new_x", "grad", "direction"):
+        assert getattr(back, name) == pytest.approx(getattr(learner, name))
+    model = {r["id"]: r["value"] for r in training.dump_state(spark, path, model_only=True).collect()}
+    assert model == pytest.approx({int(i): v for i, v in zip(ids, learner.new_x) if v})
+    torn = str(tmp_path / "torn")
+    spark.read.parquet(path).where("not (number = 2 and name = 'x' and part = 1)").write.parquet(torn)
+    assert training.load_state(spark, torn)[3] == 1
+    assert training.dump_state(spark, str(tmp_path / "none"), model_only=True).count() == 0
+
+
 def test_predict_and_mixture(spark, random_instances):
     mean = training.mixture(random_instances, 1, training.Options(l1=1.0))
     model = training.train(random_instances, training.Options(l1=1.0))

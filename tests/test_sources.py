@@ -106,3 +106,8 @@ def test_dump_of_messages(spark):
     rows = spark.createDataFrame([(b"k", one.SerializeToString())], "key binary, value binary")
     line = messages.dump(rows, text, "Pair").first()["line"]
     assert line.startswith("Key: k\nValue:") and "index: 7" in line and "e: Y" in line and "n: 3" in line
+
+
+def test_addresses_without_a_file_system():
+    with pytest.raises(ValueError, match="sftp"):
+        recordio._system("sftp://me@host:/d/a.rec")
